@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caseledger import rules
 
@@ -58,10 +60,14 @@ def join_non_empty(parts: Column, separator: str) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, separator))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_to_ascii(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, then everything outside ASCII is dropped."""
-    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+    return text.map(_ascii, na_action="ignore")
+
+
+def _ascii(text: str) -> str:
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
 
 
 def words(text: Column) -> Column:

@@ -95,13 +95,16 @@ def is_blocked(url: Column, hosts: tuple[str, ...] = rules.BLOCKED_HOSTS) -> Col
     return netloc(url).isin(*hosts)
 
 
-def fetch_outcome(url: Column, fetched: Column, fetch_failed: Column) -> Column:
+def fetch_outcome(
+    url: Column, fetched: Column, fetch_failed: Column,
+    hosts: tuple[str, ...] = rules.BLOCKED_HOSTS,
+) -> Column:
     """The text column a scrape leaves behind, from results fetched elsewhere."""
     unparseable = url.rlike(r"^[^/?#]*//[^/?#]*\[[^\]/?#]*(?:[/?#]|$)")
     return (
         F.when(url.isNull() | ~url.startswith("http"), F.lit(""))
         .when(unparseable, F.lit("INVALID_URL"))
-        .when(is_blocked(url), F.lit("BLACKLISTED"))
+        .when(is_blocked(url, hosts), F.lit("BLACKLISTED"))
         .when(fetch_failed, F.lit("SCRAPING_FAILED"))
         .otherwise(fetched)
     )

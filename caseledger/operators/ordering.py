@@ -65,11 +65,6 @@ def top_per_group(
     return table.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def chunk_sizes(n_terms: int, n_slots: int) -> int:
-    """Even spread of terms over slots, at least one each."""
-    return max(1, n_terms // n_slots)
-
-
 def assign_chunks(numbered: DataFrame, size: Column | int, position: str = "position") -> DataFrame:
     """Adds ``chunk``, counted from 0, for fixed-size runs of an ordered list."""
     width = F.lit(size) if isinstance(size, int) else size

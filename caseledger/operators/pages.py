@@ -38,7 +38,7 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((page_id, url, title, simple, text, *kept, None))
             except Exception as problem:  # one bad page must not stop the others
                 rows.append((page_id, url, *[None] * 6, f"{type(problem).__name__}: {problem}"))
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append({"page_id": page_id, "position": at, **found})
             except Exception as problem:
                 rows.append({"page_id": page_id, "error": f"{type(problem).__name__}: {problem}"})
-        frame = pd.DataFrame(rows, columns=names).astype({"position": "Int32"})
-        yield frame
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def listing_entries(pages: DataFrame) -> DataFrame:

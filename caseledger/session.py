@@ -24,6 +24,7 @@ def build_session(
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **extra}.items():

@@ -12,17 +12,24 @@ ASSESSMENTS_PER_PAGE = 100
 ARTICLES_PER_PAGE = 100
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that hold one array of objects at their root."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_rows(
+    spark: SparkSession, path: str, schema: str, multi_line: bool = True
+) -> DataFrame:
+    """Files that hold one array of objects, or with ``multi_line`` off one per line.
+
+    Arrays per line are the form for large data: a file of many lines can be split.
+    """
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
-def _envelope(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+def _envelope(
+    spark: SparkSession, path: str, fields: tuple[str, ...], multi_line: bool
+) -> DataFrame:
     # read as text: an array arrives as its JSON, and so does an array that was
     # itself stored as a JSON string
     schema = ", ".join(f"`{f}` string" for f in (*fields, "_corrupt_record"))
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=multi_line)
 
 
 def explode_arrays(
@@ -36,18 +43,20 @@ def explode_arrays(
 
 
 def read_envelope(
-    spark: SparkSession, path: str, names: tuple[str, ...], element: str
+    spark: SparkSession, path: str, names: tuple[str, ...], element: str, multi_line: bool = True
 ) -> DataFrame:
-    return explode_arrays(_envelope(spark, path, names), names, element).drop("position")
+    envelopes = _envelope(spark, path, names, multi_line)
+    return explode_arrays(envelopes, names, element).drop("position")
 
 
-def read_assessments(spark: SparkSession, path: str) -> DataFrame:
+def read_assessments(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The merged form names its array ``result``, the service ``assessments``."""
-    return read_envelope(spark, path, ("result", "assessments"), schemas.ASSESSMENT)
+    names = ("result", "assessments")
+    return read_envelope(spark, path, names, schemas.ASSESSMENT, multi_line)
 
 
-def read_taxa(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema(schemas.TAXA_PAGE).json(path, multiLine=True)
+def read_taxa(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    pages = spark.read.schema(schemas.TAXA_PAGE).json(path, multiLine=multi_line)
     return pages.select(F.explode("taxon_concepts").alias("t")).select("t.*")
 
 
