@@ -14,6 +14,7 @@ from caseledger import rules
 
 # Python's notion of white space; Spark's trim() takes blanks only.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 _CAPITALISED = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 _WORD = r"(?U)\b[a-zA-Z]{3,}\b"
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -25,7 +26,7 @@ def strip(text: Column) -> Column:
 
 def has_content(text: Column) -> Column:
     """True when some character is not white space; null counts as empty."""
-    return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
+    return F.coalesce(text.rlike(_VISIBLE), F.lit(False))
 
 
 def sha256_hex(text: Column) -> Column:
@@ -87,7 +88,7 @@ def keyword_occurrences(text: Column) -> Column:
     Finds of two letters (``At``) are left out.
     """
     phrases = F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))
-    return F.filter(F.concat(phrases, words(text)), lambda c: F.length(strip(c)) > 2)
+    return F.concat(F.filter(phrases, lambda p: F.length(p) > 2), words(text))
 
 
 def keyword_candidates(text: Column) -> Column:

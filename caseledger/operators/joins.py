@@ -9,6 +9,9 @@ from caseledger import rules
 from caseledger.functions.text import strip, word_tokens
 
 
+SMALL_DICTIONARY = 16 * 1024 * 1024
+
+
 def _suffixed(columns: list[str], taken: set[str], suffix: str) -> dict[str, str]:
     return {c: f"{c}{suffix}" for c in columns if c in taken}
 
@@ -221,15 +224,27 @@ def dictionary_hits(
     """(document, term, hits) for a dictionary of any size, by equi-join on words.
 
     A term of up to ``max_words`` words matches whole words in sequence, case ignored.
-    Only (document, phrase) counts are shuffled, never texts, and a word found
-    everywhere costs one row per document, not one per use.
+    A dictionary below ``SMALL_DICTIONARY`` bytes, which is checked, is broadcast, and
+    only hits are counted. With a larger one, phrases are counted per document before
+    they meet it: a word found everywhere then costs one row per document, not one per
+    use. Texts are never shuffled.
     """
     tokens = word_tokens(F.col(text))
     grams = F.concat(*[_grams(F.col("_tokens"), n) for n in range(1, max_words + 1)])
     found = documents.select(key, tokens.alias("_tokens")).select(
         key, F.explode(grams).alias("_phrase")
     )
-    counted = found.groupBy(key, "_phrase").agg(F.count(F.lit(1)).alias("hits"))
     spelled = F.array_join(word_tokens(F.col(term)), " ")
-    wanted = terms.select(F.col(term), spelled.alias("_phrase")).filter("_phrase <> ''")
-    return counted.join(wanted.distinct(), "_phrase").select(key, term, "hits")
+    wanted = terms.select(F.col(term), spelled.alias("_phrase")).filter("_phrase <> ''").distinct()
+    count = F.count(F.lit(1)).alias("hits")
+    if _is_small(wanted):
+        hits = found.join(F.broadcast(wanted), "_phrase")
+        return hits.groupBy(key, term).agg(count)
+    counted = found.groupBy(key, "_phrase").agg(count)
+    return counted.join(wanted, "_phrase").select(key, term, "hits")
+
+
+def _is_small(wanted: DataFrame) -> bool:
+    width = sum((F.octet_length(c) for c in wanted.columns), F.lit(32))
+    size = wanted.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return size <= SMALL_DICTIONARY

@@ -21,12 +21,6 @@ LISTING_COLUMNS = (
 )
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a scan of few files enough tasks for row work in Python; else leave it."""
-    wanted = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table
-
-
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in PAGE_COLUMNS.split(", ")]
     for batch in batches:
@@ -43,7 +37,7 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` cleaned in stages; failures carry ``error``."""
-    return spread(pages.select("page_id", "url", "html")).mapInPandas(_clean, PAGE_COLUMNS)
+    return pages.select("page_id", "url", "html").mapInPandas(_clean, PAGE_COLUMNS)
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +55,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def listing_entries(pages: DataFrame) -> DataFrame:
     """Result blocks of listing pages; title and excerpt folded to ASCII."""
-    found = spread(pages.select("page_id", "html")).mapInPandas(_list, LISTING_COLUMNS)
+    found = pages.select("page_id", "html").mapInPandas(_list, LISTING_COLUMNS)
     return found.withColumns(
         {"title": fold_to_ascii(F.col("title")), "excerpt": fold_to_ascii(F.col("excerpt"))}
     )

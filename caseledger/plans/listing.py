@@ -39,12 +39,11 @@ def listing_page(spark, folder):
         IUU_type="Illegal Fishing",
     )
     page, totals = fl.list_incidents(records.incidents(t), records.sources(t), request)
+    page = page.withColumn("_totals", totals.select(F.struct("total", "has_more")).scalar())
     return page.select(
         "id",
         F.nullif(F.col(fl.EVENT_DATE), F.lit("Not specified")).alias("event_date"),
-        "status", "verified",
-        totals.select("total").scalar().alias("total"),
-        totals.select("has_more").scalar().alias("has_more"),
+        "status", "verified", "_totals.total", "_totals.has_more",
     )
 
 

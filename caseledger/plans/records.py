@@ -47,20 +47,16 @@ def mapped(column: str, names: dict[str, str]) -> Column:
 
 
 def incidents(t: Tables) -> DataFrame:
-    """Nested incident records. The classification set has three members at most."""
-    names = F.create_map(*[F.lit(x) for pair in TYPE_OF.items() for x in pair])
-    kinds = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.array_sort(F.collect_set("l_returnflag")).alias("_flags")
-    )
-    kinds = kinds.select(
-        "id",
-        F.transform(
-            "_flags",
-            lambda f: F.struct(
-                F.element_at(names, f).alias("IUUType"), F.lit("reported").alias("IUUTypeReason")
-            ),
-        ).alias("_listed"),
-    )
+    """Nested incident records; their classifications are a set of three at most."""
+    found = {flag: F.max(F.col("l_returnflag") == flag).alias(flag) for flag in TYPE_OF}
+    flags = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(*found.values())
+    listed = [
+        F.when(F.col(flag), F.struct(
+            F.lit(name).alias("IUUType"), F.lit("reported").alias("IUUTypeReason")
+        ))
+        for flag, name in TYPE_OF.items()
+    ]
+    kinds = flags.select("id", F.array_compact(F.array(*listed)).alias("_listed"))
     day = F.when(
         F.col("o_orderpriority") != "4-NOT SPECIFIED", F.date_format("o_orderdate", "yyyy-MM-dd")
     ).otherwise("Not specified")

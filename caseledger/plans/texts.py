@@ -15,7 +15,7 @@ from caseledger.operators.ordering import assign_chunks, number_rows
 from caseledger.plans import records
 from caseledger.plans.registry import Tables, query
 from caseledger.sources.spreadsheets import read_csv
-from caseledger.sources.tables import write_sheets
+from caseledger.sources.tables import spread, write_sheets
 from caseledger.storage import new_folder, stored
 
 # Words are delimited by hand, since the SQL engine's \b knows ASCII letters only.
@@ -46,15 +46,20 @@ keywords AS (SELECT doc_id, keyword, tf, df, score, rank FROM ranked WHERE n > 1
 """
 
 
+def _documents(t: Tables) -> DataFrame:
+    return spread(t.documents.select("doc_id", "text", "lang"))
+
+
 @query(f"""
 WITH {FINDS_SQL}
-SELECT doc_id, count(DISTINCT keyword) AS candidates,
-  string_agg(DISTINCT keyword, '|' ORDER BY keyword) AS joined FROM occurrences GROUP BY doc_id
+SELECT d.doc_id, count(DISTINCT keyword) AS candidates,
+  coalesce(string_agg(DISTINCT keyword, '|' ORDER BY keyword), '') AS joined
+FROM documents d LEFT JOIN occurrences o ON o.doc_id = d.doc_id GROUP BY d.doc_id
 """)
 def k01_keyword_candidates(spark, folder):
     found = keyword_candidates(F.col("text"))
-    docs = Tables(spark, folder).documents.select("doc_id", F.array_sort(found).alias("c"))
-    return docs.filter(F.size("c") > 0).select(
+    docs = _documents(Tables(spark, folder)).select("doc_id", F.array_sort(found).alias("c"))
+    return docs.select(
         "doc_id", F.size("c").cast("bigint").alias("candidates"), F.array_join("c", "|").alias("joined")
     )
 
@@ -63,12 +68,12 @@ def k01_keyword_candidates(spark, folder):
 WITH {FINDS_SQL} SELECT doc_id, count(DISTINCT keyword) AS candidates FROM occurrences GROUP BY 1
 """)
 def a13_distinct_candidates(spark, folder):
-    found = kw.document_candidates(Tables(spark, folder).documents, "doc_id", "text")
+    found = kw.document_candidates(_documents(Tables(spark, folder)), "doc_id", "text")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return kw.ranked_by_frequency(t.documents, "doc_id", "text")
+    return kw.ranked_by_frequency(_documents(t), "doc_id", "text")
 
 
 @query(f"""
@@ -85,7 +90,7 @@ SELECT keyword, count(*) AS frequency FROM each GROUP BY 1
 ORDER BY frequency DESC, keyword LIMIT 20
 """)
 def a08_global_keywords(spark, folder):
-    found = kw.document_candidates(Tables(spark, folder).documents, "doc_id", "text")
+    found = kw.document_candidates(_documents(Tables(spark, folder)), "doc_id", "text")
     return rp.keyword_frequency(found.withColumnRenamed("candidate", "keyword"))
 
 
@@ -98,7 +103,7 @@ def a09_languages(spark, folder):
 WITH {FINDS_SQL} SELECT count(DISTINCT keyword) AS total_unique_keywords FROM occurrences
 """)
 def a10_unique_keywords(spark, folder):
-    found = kw.document_candidates(Tables(spark, folder).documents, "doc_id", "text")
+    found = kw.document_candidates(_documents(Tables(spark, folder)), "doc_id", "text")
     return rp.unique_keywords(found, "candidate")
 
 
@@ -159,7 +164,7 @@ def j13_dictionary_hits(spark, folder):
     first = t.benchmark.select(word_tokens(F.col("text")).alias("w"))
     phrase = F.explode(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " ")))
     terms = first.select(phrase.alias("term")).distinct()
-    return jn.dictionary_hits(t.documents, terms, "doc_id", "text", "term", max_words=2)
+    return jn.dictionary_hits(_documents(t), terms, "doc_id", "text", "term", max_words=2)
 
 
 @query(f"""
@@ -302,23 +307,23 @@ WITH heads AS (SELECT page_id, replace(replace(replace(replace(replace(
 SELECT page_id, CASE WHEN length(title) > 5 THEN title END AS title FROM heads
 """)
 def h01_titles(spark, folder):
-    return pg.clean_pages(Tables(spark, folder).pages).select("page_id", "title")
+    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "title")
 
 
 @query()
 def h02_cleaning_stages(spark, folder):
-    cleaned = pg.clean_pages(Tables(spark, folder).pages)
+    cleaned = pg.clean_pages(spread(Tables(spark, folder).pages))
     return cleaned.select("page_id", "stage1_kept", "stage2_kept", "stage3_kept")
 
 
 @query()
 def h06_simplified_html(spark, folder):
-    return pg.clean_pages(Tables(spark, folder).pages).select("page_id", "filtered_html")
+    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "filtered_html")
 
 
 @query()
 def h07_plain_text(spark, folder):
-    return pg.clean_pages(Tables(spark, folder).pages).select("page_id", "url", "text")
+    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "url", "text")
 
 
 @query("""
