@@ -73,12 +73,12 @@ def merge_pages(
     after = numbers.select((F.col("page") - 1).alias("page")).distinct()
     last_in_row = numbers.join(after, "page", "left_anti").agg(F.min("page")).scalar()
     announced = F.max(F.when(F.col("page") == 1, F.col("total_entries")))
+    full = F.greatest(F.ceil(announced / per_page), F.lit(1))
     ends = numbers.agg(
         F.min(F.when(F.col("_size") < per_page, F.col("page"))).alias("short"),
-        announced.alias("total_entries"),
-        F.greatest(F.ceil(announced / per_page), F.lit(1)).alias("full"),
-    ).select("total_entries", F.least("short", "full", last_in_row).alias("last"))
-    last = ends.select("last").scalar()
+        F.when(announced.isNotNull(), full).alias("full"),
+    )
+    last = ends.select(F.least("short", "full", last_in_row)).scalar()
     read = pages.filter(F.col("page") <= last)
     elements = read.select("page", F.posexplode(items).alias("position", "item"))
     totals = read.agg(
