@@ -112,6 +112,11 @@ def render(node: list) -> str:
     return "".join(out)
 
 
+def _as_text(part):
+    """Script or style content that loses its element is ordinary text from then on."""
+    return ("text", part[1]) if isinstance(part, tuple) and part[0] == "raw" else part
+
+
 def rewrite(node: list, action, attach=list.append) -> list:
     """Copy of the tree in which ``action(child)`` keeps, drops or unwraps children."""
     copy = [node[0], node[1], []]
@@ -124,7 +129,7 @@ def rewrite(node: list, action, attach=list.append) -> list:
         if not isinstance(part, list):
             attach(target, part)
         elif verdict == "unwrap":
-            waiting.extend((child, target) for child in reversed(part[2]))
+            waiting.extend((_as_text(child), target) for child in reversed(part[2]))
         else:
             kept = [part[0], part[1], []]
             target.append(kept)

