@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caseledger import rules
 from caseledger.functions.text import strip, word_tokens
+from caseledger.operators.skew import join_back
+from caseledger.storage import reliable
 
 
 SMALL_DICTIONARY = 16 * 1024 * 1024
@@ -16,12 +18,18 @@ def _suffixed(columns: list[str], taken: set[str], suffix: str) -> dict[str, str
     return {c: f"{c}{suffix}" for c in columns if c in taken}
 
 
+def _without_partner(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key the other side lacks; all it needs of that side is distinct keys."""
+    keys = others.select(F.col(f"`{other_key}`").alias("_key")).distinct()
+    return rows.join(keys, rows[f"`{key}`"].eqNullSafe(F.col("_key")), "left_anti")
+
+
 def outer_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> DataFrame:
     """Full outer join that also pairs null keys; every pair of equal keys is kept.
 
-    Colliding columns of the right side get ``suffix``. Written as a left join plus the
-    right rows without a partner: adaptive execution can split a hot key in either of
-    these, but never in a full outer join.
+    Colliding columns of the right side get ``suffix``. Written as an inner join plus
+    the rows of either side without a partner: adaptive execution can split a hot key
+    on both sides of an inner join, but on neither side of a full outer join.
     """
     taken = set(left.columns) - {key}
     right = right.withColumnsRenamed(
@@ -29,25 +37,31 @@ def outer_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> Data
     )
     rest = [F.col(f"r.`{c}`") for c in right.columns if c != key]
     same = F.col(f"l.`{key}`").eqNullSafe(F.col(f"r.`{key}`"))
-    paired = left.alias("l").join(right.alias("r"), same, "left").select("l.*", *rest)
-    # the distinct keys are all the second part needs of the left side
-    keys = left.select(F.col(f"`{key}`")).distinct()
-    alone = right.alias("r").join(keys.alias("l"), same, "left_anti")
-    return paired.unionByName(alone, allowMissingColumns=True)
+    paired = left.alias("l").join(right.alias("r"), same).select("l.*", *rest)
+    for alone in (
+        _without_partner(left, key, right, key), _without_partner(right, key, left, key)
+    ):
+        paired = paired.unionByName(alone, allowMissingColumns=True)
+    return paired
 
 
 def left_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     left_suffix: str, right_suffix: str,
 ) -> DataFrame:
-    """Left join on differently named keys; both sides of a collision are renamed."""
+    """Left join on differently named keys; both sides of a collision are renamed.
+
+    In two parts for the same reason: the right side of a left join is never split.
+    """
     shared = set(left.columns) & set(right.columns)
     left_names = _suffixed(left.columns, shared, left_suffix)
     right_names = _suffixed(right.columns, shared, right_suffix)
     left = left.withColumnsRenamed(left_names)
     right = right.withColumnsRenamed(right_names)
     lk, rk = left_names.get(left_key, left_key), right_names.get(right_key, right_key)
-    return left.join(right, left[lk].eqNullSafe(right[rk]), "left")
+    paired = left.join(right, left[f"`{lk}`"].eqNullSafe(right[f"`{rk}`"]))
+    alone = _without_partner(left, lk, right, rk)
+    return paired.unionByName(alone, allowMissingColumns=True)
 
 
 def find_key_column(columns: list[str]) -> str | None:
@@ -59,7 +73,8 @@ def join_kinds(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str
     """Outer-join all kinds that have a report key, left to right.
 
     Also returns the state after each step, for the accounting. Fewer than two such
-    kinds give no joined table.
+    kinds give no joined table. A step's result is read several times by the next one,
+    so it is stored in between.
     """
     keyed = {}
     for kind, table in tables.items():
@@ -77,6 +92,8 @@ def join_kinds(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str
         else:
             suffix = "_" + kind.replace("-", "_")
             joined = outer_join(joined, table, rules.REPORT_KEY, suffix)
+            if kind != list(keyed)[-1]:
+                joined = reliable(joined)
         steps[kind] = joined
     return joined, steps
 
@@ -109,11 +126,11 @@ def verify_species(species: DataFrame, reference: DataFrame) -> DataFrame:
         F.col("common_name").alias("_common"), F.lower("sci_name").alias("_sci"),
         F.lit(True).alias("_known"),
     ).distinct()
-    known = (F.col("speciesCommonName") == F.col("_common")) & (
-        F.lower("scientificName") == F.col("_sci")
+    named = species.withColumns(
+        {"_common": F.col("speciesCommonName"), "_sci": F.lower("scientificName")}
     )
     return (
-        species.join(pairs, known, "left")
+        join_back(named, pairs, ["_common", "_sci"], "left")
         .withColumn("verified", F.coalesce("_known", F.lit(False)))
         .drop("_common", "_sci", "_known")
     )
@@ -145,9 +162,9 @@ def flag_listed_names(rows: DataFrame, name: str, reference: DataFrame, listed:
     """Adds ``listed``: the name is in the reference list, case and edges ignored."""
     known = reference.select(F.lower(strip(F.col(listed))).alias("_name")).distinct()
     known = known.withColumn("_known", F.lit(True))
-    same = F.lower(strip(F.col(name))) == F.col("_name")
+    named = rows.withColumn("_name", F.lower(strip(F.col(name))))
     return (
-        rows.join(known, same, "left")
+        join_back(named, known, "_name", "left")
         .withColumn("listed", F.coalesce("_known", F.lit(False)))
         .drop("_name", "_known")
     )
@@ -160,15 +177,15 @@ def flag_existing(rows: DataFrame, stored: DataFrame, key: str, stored_id: str)
     long probe, which adaptive execution splits.
     """
     known = stored.groupBy(key).agg(F.min(stored_id).alias("existing_id"))
-    return rows.join(known, key, "left")
+    return join_back(rows, known, key, "left")
 
 
 def exclude_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return rows.join(known.select(key).distinct(), key, "left_anti")
+    return join_back(rows, known.select(key).distinct(), key, "left_anti")
 
 
 def rows_with_accepted(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
-    return rows.join(accepted.select(key), key, "left_semi")
+    return join_back(rows, accepted.select(key).distinct(), key, "left_semi")
 
 
 def same_vessel(incidents: DataFrame, vessel: str, name: str, key: str = "id") -> DataFrame:
@@ -188,7 +205,7 @@ def duplicate_groups(incidents: DataFrame, vessel: str, key: str = "id") -> Data
         .agg(F.count(F.lit(1)).alias("group_size"), F.min(key).alias("first_id"))
         .filter(F.col("group_size") > 1)
     )
-    return named.select(key, vessel).join(groups, vessel).select(
+    return join_back(named.select(key, vessel), groups, vessel).select(
         key, vessel, "group_size", "first_id"
     )
 
@@ -241,7 +258,7 @@ def dictionary_hits(
         hits = found.join(F.broadcast(wanted), "_phrase")
         return hits.groupBy(key, term).agg(count)
     counted = found.groupBy(key, "_phrase").agg(count)
-    return counted.join(wanted, "_phrase").select(key, term, "hits")
+    return join_back(counted, wanted, "_phrase").select(key, term, "hits")
 
 
 def _is_small(wanted: DataFrame) -> bool:

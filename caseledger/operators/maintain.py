@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from caseledger import rules
 from caseledger.functions.text import default_if_missing, sha256_hex
 from caseledger.operators.links import remove_incidents
+from caseledger.operators.skew import join_back
 from caseledger.storage import reliable
 
 CHANGE = "map<string, struct<old_value: string, new_value: string>>"
@@ -67,7 +68,7 @@ def insert_unique(
     """
     keys = batch.select(seq, "article_hash", "url")
     for key in ("article_hash", "url"):
-        keys = keys.join(known_keys(stored, batch, key), key, "left_anti")
+        keys = join_back(keys, known_keys(stored, batch, key), key, "left_anti")
     accepted = _settle(keys.select(seq, "article_hash", "url"), seq)
     return (
         batch.join(accepted, seq, "left_semi"),
@@ -137,14 +138,14 @@ def accepted_fields(updates: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    return table.join(ids.select(key).distinct(), key, "left_anti")
+    return join_back(table, ids.select(key).distinct(), key, "left_anti")
 
 
 def clear_references(table: DataFrame, column: str, ids: DataFrame, key: str = "id") -> DataFrame:
     """Null a 1:1 link wherever its target is among the deleted ids."""
     gone = ids.select(F.col(key).alias(column), F.lit(True).alias("_gone")).distinct()
     cleared = F.when(F.col("_gone").isNull(), F.col(column))
-    joined = table.join(gone, column, "left").withColumn(column, cleared)
+    joined = join_back(table, gone, column, "left").withColumn(column, cleared)
     return joined.select(table.columns)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from caseledger import rules
 from caseledger.functions.vectors import cosine, dot, unit
 from caseledger.operators.ordering import top_per_group
+from caseledger.operators.skew import join_back
 from caseledger.storage import reliable
 
 
@@ -31,7 +32,7 @@ def score_candidates(
     """Cosine of each candidate to its document; a lone candidate is left out."""
     several = candidates.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     sides = documents.select(group, document_vector).join(several.select(group), group, "left_semi")
-    scored = candidates.join(sides, group)
+    scored = join_back(candidates, sides, group)
     return scored.withColumn("score", cosine(F.col(vector), F.col(document_vector))).drop(
         document_vector
     )

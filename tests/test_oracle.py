@@ -27,6 +27,8 @@ def sql():
 def test_query(spark, sql, name):
     frame = driver.queries()[name](spark, FOLDER)
     got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name not in driver.oracle_sql():
         assert got[1]
         return
