@@ -1,6 +1,7 @@
 """Table maintenance: each operator returns the new state of a table.
 
-``write_version`` stores a state as a new version folder; readers take the newest.
+``write_version`` stores a state as a version folder of its own, so readers of an older
+version are not disturbed.
 """
 
 from __future__ import annotations
