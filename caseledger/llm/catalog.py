@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import ngram_join
+from caseledger.llm import fingerprints, ngram_join
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.against_edits(_table(spark, folder, "documents"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
