@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import fingerprints, ngram_join
+from caseledger.llm import bpe, fingerprints, ngram_join
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -27,6 +27,11 @@ def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_edits(_table(spark, folder, "documents"))
 
 
+@query
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, folder, "documents"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
