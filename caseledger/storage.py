@@ -1,27 +1,25 @@
 """Where intermediate tables live, and how lineage is cut.
 
-Both use the folder named by ``spark.checkpoint.dir``. It must be visible to every
-executor; only a local session may fall back to a folder of its own.
+Both use the folder named by ``spark.checkpoint.dir``, which must be visible to every
+executor. Without that setting they use a folder inside the session's warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The named folder; where none is named, one inside the warehouse, shared as well."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     if sc.getCheckpointDir() is None:
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
-    return (named or sc.getCheckpointDir()).rstrip("/")
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -39,3 +37,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that no later step reads."""
+    jvm = table.sparkSession.sparkContext._jvm
+    conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
