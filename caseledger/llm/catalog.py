@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, fingerprints, ngram_join
+from caseledger.llm import bpe, fingerprints, ngram_join, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -32,6 +32,11 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))

@@ -15,6 +15,9 @@ import pyarrow.compute  # noqa: F401
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# ASCII other than letters and digits; all bytes of other characters belong to words.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,8 +73,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def _spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = ~_SPACE[data]
+def _spans(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -98,21 +101,42 @@ def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the number of words before each text (and in all)."""
-    hashes, begins = [], []
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the number of words before each text (and in all).
+
+    ``gaps`` tells which bytes are between words; white space always is.
+    """
+    found, at = stem_hashes(data, starts, gaps, ())
+    return found[0], at
+
+
+def stem_hashes(
+    data: np.ndarray, starts: np.ndarray, gaps: np.ndarray, cuts: tuple[int, ...]
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``word_hashes``, and for each of ``cuts`` that of the words' first so many bytes.
+
+    A word that is not longer than the cut has 0 there.
+    """
+    hashes: list[list[np.ndarray]] = [[] for _ in range(len(cuts) + 1)]
+    begins = []
     for a, b in _cuts(data):
         part = data[a:b]
         lo, hi = np.searchsorted(starts, [a, b], "left")
-        first, last = _spans(part, starts[lo:hi] - a)
+        first, last = _spans(part, starts[lo:hi] - a, gaps)
         up, down = _power_tables(len(part))
         total = np.cumsum(_LETTER[_LOWER[part]] * up[: len(part)], dtype=np.uint64)
         before = np.where(first > 0, total[np.maximum(first, 1) - 1], np.uint64(0))
-        hashes.append(mix((total[last - 1] - before) * down[first]))
+        shift = down[first]
+        hashes[0].append(mix((total[last - 1] - before) * shift))
+        for k, cut in enumerate(cuts, 1):
+            stem = mix((total[np.minimum(first + cut, last) - 1] - before) * shift + np.uint64(cut))
+            hashes[k].append(np.where(last - first > cut, stem, np.uint64(0)))
         begins.append(first + a)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), starts)
+    if not begins:
+        return [np.zeros(0, np.uint64) for _ in hashes], np.zeros(len(starts), np.int64)
+    return [np.concatenate(h) for h in hashes], np.searchsorted(np.concatenate(begins), starts)
 
 
 def sequence_hash(words: np.ndarray, n: int) -> np.ndarray:
