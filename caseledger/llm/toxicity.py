@@ -62,20 +62,22 @@ def _swaps(identity: tuple[tuple[str, ...], ...]) -> dict[int, int]:
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for label, texts in _aligned(batch):
+        for key, label, texts in _aligned(batch):
             data, starts = text_bytes(texts)
             kinds, at = stem_hashes(data, starts, PUNCTUATION, STEMS)
             lists = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = distinct(np.concatenate([k[a:b] for k in kinds]))
                 lists.append(own[own != 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([label, pa.array(lists, pa.list_(pa.int64()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [key, label, pa.array(lists, pa.list_(pa.int64()))], names=["key", "label", "words"]
+            )
 
 
-def _aligned(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+def _aligned(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     at = 0
-    for texts in in_parts(batch.column(1)):
-        yield batch.column(0).slice(at, len(texts)), texts
+    for texts in in_parts(batch.column(2)):
+        yield batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), texts
         at += len(texts)
 
 
@@ -216,8 +218,9 @@ def fit(
 
     Only hashes of the sample's words reach the driver.
     """
-    rows = labelled_sample(docs, labels, id, text, label, sample, train).select(F.col("_label").alias("label"), "_text")
-    found = rows.mapInArrow(_words_of, "label int, words array<bigint>").toArrow()
+    rows = labelled_sample(docs, labels, id, text, label, sample, train)
+    rows = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), "_text")
+    found = rows.mapInArrow(_words_of, "key bigint, label int, words array<bigint>").toArrow().sort_by("key")
     lists = found.column("words").combine_chunks()
     ends, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
     words = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -73,7 +73,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def _spans(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word, and the byte after its last."""
     inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -85,7 +86,7 @@ def _spans(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> tuple[np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
     """Blocks of about the block size that end at white space."""
     at = 0
     while at < len(data):
@@ -121,10 +122,10 @@ def stem_hashes(
     """
     hashes: list[list[np.ndarray]] = [[] for _ in range(len(cuts) + 1)]
     begins = []
-    for a, b in _cuts(data):
+    for a, b in blocks(data):
         part = data[a:b]
         lo, hi = np.searchsorted(starts, [a, b], "left")
-        first, last = _spans(part, starts[lo:hi] - a, gaps)
+        first, last = word_spans(part, starts[lo:hi] - a, gaps)
         up, down = _power_tables(len(part))
         total = np.cumsum(_LETTER[_LOWER[part]] * up[: len(part)], dtype=np.uint64)
         before = np.where(first > 0, total[np.maximum(first, 1) - 1], np.uint64(0))
