@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, fingerprints, ngram_join, quality, toxicity
+from caseledger.llm import bpe, fingerprints, ngram_join, quality, suffix_tree, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -45,3 +45,8 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.held_out_scores(_table(spark, folder, "documents"))
