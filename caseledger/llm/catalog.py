@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, fingerprints, ngram_join, quality, suffix_tree, toxicity
+from caseledger.llm import bpe, fingerprints, ngram_join, quality, suffix_tree, toxicity, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -37,6 +37,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classified(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@query
+def op7_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
 @query
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
