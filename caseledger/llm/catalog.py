@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, fingerprints, ngram_join, quality, suffix_tree, toxicity, warc
+from caseledger.llm import bpe, fingerprints, ngram_join, packing, quality, suffix_tree, toxicity, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
+
+
 @query
 def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_edits(_table(spark, folder, "documents"))

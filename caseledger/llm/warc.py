@@ -115,7 +115,7 @@ def parse(raw: bytes) -> dict[str, object]:
     }
 
 
-class _Writer:
+class SharedFile:
     """One file, visible under its name when it is complete."""
 
     def __init__(self, folder: str, name: str) -> None:
@@ -149,7 +149,7 @@ def _archive(folder: str):
                     *(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True
                 ):
                     if out is None:
-                        out = _Writer(folder, f"part-{part:06d}-{count:04d}.warc.gz")
+                        out = SharedFile(folder, f"part-{part:06d}-{count:04d}.warc.gz")
                         out.put(gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-info:"
                                               + out.name.encode() + b">\r\nWARC-Date: " + DATE.encode()
                                               + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n", mtime=0))
@@ -189,8 +189,8 @@ def _blocks(folder: str):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if index is None:
                     first = row[0]
-                    index = _Writer(folder, f"cdx-{part:06d}.gz")
-                    entries = _Writer(folder, f"cdx-{part:06d}.idx")
+                    index = SharedFile(folder, f"cdx-{part:06d}.gz")
+                    entries = SharedFile(folder, f"cdx-{part:06d}.idx")
                 block.append((row[0], "\t".join("" if x is None else str(x) for x in row) + "\n"))
                 if len(block) == LINES:
                     flush()
