@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, fingerprints, ngram_join, packing, quality, suffix_tree, toxicity, warc
+from caseledger.llm import bpe, decontamination, fingerprints, licences, ngram_join, packing, quality, suffix_tree, toxicity, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -22,6 +22,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents"))
+
+
+SQL["op1_licence_scan"] = licences.scan_sql()
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @query
 def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"))
