@@ -274,11 +274,11 @@ class Codec:
         """Tokens joined by blanks: what a vocabulary file without a decoder decodes to."""
         return " ".join([self.v.token[int(i)] for i in ids])
 
-    def digests(self, text: str) -> tuple[int, str, str, str]:
+    def digests(self, text: str) -> tuple[bytes, str, str, str]:
         runs = list(self._runs(text))
         ids = b"".join([r[0] for r in runs])
         return (
-            len(ids) // 4,
+            ids,
             hashlib.sha256(ids).hexdigest(),
             hashlib.sha256(" ".join([r[1] for r in runs]).encode()).hexdigest(),
             hashlib.sha256("".join([r[2] for r in runs]).encode()).hexdigest(),
@@ -342,12 +342,15 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", path: str |
     return rows.mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False
+) -> DataFrame:
     """Digests of every row's ids, of the tokens' names joined by blanks (which is what
     the vocabulary file, having no decoder, decodes to) and of the readable text.
 
     One pass without a shuffle. Null texts are empty: no tokens, the digest of nothing.
-    Ids are handed through, null and repeated ones too.
+    Ids are handed through, null and repeated ones too. ``with_ids`` adds the token ids
+    as little-endian unsigned 32-bit integers.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_file(path))
 
@@ -360,14 +363,16 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([len(f[0]) // 4 for f in found], pa.int64()),
                         *(pa.array([f[i] for f in found], pa.string()) for i in (1, 2, 3)),
+                        *([pa.array([f[0] for f in found], pa.binary())] if with_ids else []),
                     ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"],
+                    names=names,
                 )
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text_sha256 string"
-    )
+    shape = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text_sha256 string"
+    shape += ", ids binary" if with_ids else ""
+    names = [column.split()[0] for column in shape.split(", ")]
+    return rows.mapInArrow(run, shape)

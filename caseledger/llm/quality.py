@@ -224,8 +224,11 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def good_only(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at the threshold or above, with their columns."""
-    model = fit(docs, labels, F.lit(True), text=text)
+def good_only(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at the threshold or above, with their columns.
+
+    Learns from the same fold as ``classified``.
+    """
+    model = fit(docs, labels, fold(F.col("_id"), 3) != 1, id, text)
     name = free_name(docs, "_quality")
     return with_score(docs, model, text, name).filter(F.col(name) >= THRESHOLD).drop(name)
