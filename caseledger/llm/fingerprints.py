@@ -217,9 +217,10 @@ def against_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    falling = rows.withColumn("fall", -F.col("doc_id").cast("double"))
+    falling = rows.withColumn("fall", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))
     shares = [k / (4 * n) for k in range(1, 4 * n)]
-    bounds = sorted(set(falling.select("fall").stat.approxQuantile("fall", shares, 1 / (16 * n))))
+    numbers = falling.filter("doc_id is not null").select("fall")
+    bounds = sorted(set(numbers.stat.approxQuantile("fall", shares, 1 / (16 * n))))
     cuts = [-float("inf"), *(bounds or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=cuts, inputCol="fall", outputCol="bucket", handleInvalid="keep").transform(falling)
     bucketed = bucketed.select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
