@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from caseledger.llm.scoring import append_score, fold, free_name, labelled_sample
 from caseledger.llm.words import PUNCTUATION, distinct, in_parts, stem_hashes, text_bytes, word_hashes
 
-SAMPLE = 20_000  # labelled rows that are fitted at most
+SAMPLE = 16_000  # labelled rows that are fitted at most
 THRESHOLD = 0.3
 LEAST_TEXTS = 4  # texts of the sample that a word must be in
 SCREEN = 3.0  # standard deviations that a word's bearing by itself must exceed
@@ -47,9 +47,14 @@ IDENTITY = (
 )
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The first 32 bits of a hash are enough to name a feature."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def hashes_of(terms: list[str]) -> np.ndarray:
     data, starts = text_bytes(pa.array(terms))
-    return word_hashes(data, starts, PUNCTUATION)[0]
+    return short(word_hashes(data, starts, PUNCTUATION)[0])
 
 
 def _swaps(identity: tuple[tuple[str, ...], ...]) -> dict[int, int]:
@@ -68,9 +73,9 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = distinct(np.concatenate([k[a:b] for k in kinds]))
-                lists.append(own[own != 0].view(np.int64))
+                lists.append(distinct(short(own[own != 0])).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [key, label, pa.array(lists, pa.list_(pa.int64()))], names=["key", "label", "words"]
+                [key, label, pa.array(lists, pa.list_(pa.int32()))], names=["key", "label", "words"]
             )
 
 
@@ -91,14 +96,14 @@ class Model:
         """Probability of label 1; a text without a known word has that of the bias."""
         out = []
         seen = np.zeros(1 << 16, bool)  # by the first bits of a hash: may it be known?
-        seen[(self.words >> np.uint64(48)).astype(np.int64)] = True
+        seen[self.words >> np.uint32(16)] = True
         for part in in_parts(texts):
             data, starts = text_bytes(part)
             kinds, at = stem_hashes(data, starts, PUNCTUATION, STEMS)
             pairs = []
             for words in kinds:
                 places = np.flatnonzero(seen[(words >> np.uint64(48)).astype(np.int64)])
-                found = words[places]
+                found = short(words[places])
                 row = np.minimum(np.searchsorted(self.words, found), max(0, len(self.words) - 1))
                 known = self.words[row] == found if len(self.words) else np.zeros(0, bool)
                 text = np.searchsorted(at, places[known], "right") - 1
@@ -162,25 +167,25 @@ def fit_words(
 
     Texts of equal words and label count once, so copies prove nothing.
     """
-    once = {(y, w.tobytes()): w for y, w in zip(labels, words, strict=True)}
+    once = {(y, hash(w.tobytes())): w for y, w in zip(labels, words, strict=True)}
     words = list(once.values())
     y = np.array([label for label, _ in once], float)
     n = len(y)
     if not n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     swaps = _swaps(identity)
-    flat = np.concatenate([*words, np.zeros(0, np.uint64)]).astype(np.uint64)
-    row = np.repeat(np.arange(n), [len(x) for x in words])
+    flat = np.concatenate([*words, np.zeros(0, np.uint32)]).astype(np.uint32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in words])
     names, texts = np.unique(flat, return_counts=True)
-    terms = np.array(sorted(swaps), np.uint64)
+    terms = np.array(sorted(swaps), np.uint32)
     vocabulary = np.union1d(names[(texts >= LEAST_TEXTS) & (texts < n)], np.intersect1d(terms, names))
     m = len(vocabulary)
     if not m:
         rate = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         return Model(vocabulary, np.zeros(0), float(np.log(rate / (1 - rate))))
-    col = np.minimum(np.searchsorted(vocabulary, flat), m - 1)
+    col = np.minimum(np.searchsorted(vocabulary, flat), m - 1).astype(np.int32)
     kept = vocabulary[col] == flat
-    x = _Rows(row[kept], col[kept], np.ones(int(kept.sum())), n, m)
+    x = _Rows(row[kept], col[kept], np.ones(int(kept.sum()), np.float32), n, m)
     rate = y.mean() * (1 - y.mean())
     df = np.bincount(x.col, minlength=m)
     bearing = np.abs(x.back(y - y.mean())) >= SCREEN * np.sqrt(rate * df)
@@ -220,9 +225,9 @@ def fit(
     """
     rows = labelled_sample(docs, labels, id, text, label, sample, train)
     rows = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), "_text")
-    found = rows.mapInArrow(_words_of, "key bigint, label int, words array<bigint>").toArrow().sort_by("key")
+    found = rows.mapInArrow(_words_of, "key bigint, label int, words array<int>").toArrow().sort_by("key")
     lists = found.column("words").combine_chunks()
-    ends, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+    ends, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint32)
     words = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return fit_words(found.column("label").to_pylist(), words, identity, pairing)
 
@@ -249,8 +254,11 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, with their columns."""
-    model = fit(docs, labels, F.lit(True), text=text)
+def without_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with their columns.
+
+    Learns from the same fold as ``classified``.
+    """
+    model = fit(docs, labels, fold(F.col("_id"), 4) != 2, id, text)
     name = free_name(docs, "_toxicity")
     return with_score(docs, model, text, name).filter(F.col(name) < THRESHOLD).drop(name)
