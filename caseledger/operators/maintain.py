@@ -14,7 +14,7 @@ from caseledger import rules
 from caseledger.functions.text import default_if_missing, sha256_hex
 from caseledger.operators.links import remove_incidents
 from caseledger.operators.skew import join_back
-from caseledger.storage import reliable
+from caseledger.storage import new_folder, reliable
 
 CHANGE = "map<string, struct<old_value: string, new_value: string>>"
 
@@ -61,42 +61,55 @@ def known_keys(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def insert_unique(
     stored: DataFrame, batch: DataFrame, seq: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected rows of a batch.
+    """Accepted rows of a batch, and rejected ones with their ``reason``.
 
-    The hash is unique; so is the url, but only where there is one. Rows count in the
-    order of the unique column ``seq``: a row is rejected when a stored row or an
-    earlier accepted row has its hash or its url.
+    The hash is unique, and no hash is one value of it; so is the url, but only where
+    there is one. Rows count in the order of the unique column ``seq``: a row is rejected
+    when a stored row or an earlier accepted row has its hash (``reason`` is then
+    ``article_hash``) or its url (``url``).
     """
-    keys = batch.select(seq, "article_hash", "url")
-    for key in ("article_hash", "url"):
-        keys = join_back(keys, known_keys(stored, batch, key), key, "left_anti")
-    accepted = _settle(keys.select(seq, "article_hash", "url"), seq)
-    return (
-        batch.join(accepted, seq, "left_semi"),
-        batch.join(accepted, seq, "left_anti"),
-    )
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_hash", F.coalesce("article_hash", F.lit("")))
+
+    keys, older = hashed(batch).select(seq, "_hash", "url"), hashed(stored)
+    known = {key: known_keys(older, keys, key) for key in ("_hash", "url")}
+    open_keys = keys
+    for key, values in known.items():
+        open_keys = join_back(open_keys, values, key, "left_anti")
+    accepted = _settle(open_keys.select(seq, "_hash", "url"), seq)
+    taken = known["_hash"].unionByName(accepted.select("_hash")).distinct()
+    rest = join_back(hashed(batch), accepted.select(seq), seq, "left_anti")
+    rest = join_back(rest, taken.withColumn("_taken", F.lit(True)), "_hash", "left")
+    reason = F.when(F.col("_taken").isNotNull(), "article_hash").otherwise("url")
+    rejected = rest.withColumn("reason", reason).select(*batch.columns, "reason")
+    return join_back(batch, accepted.select(seq), seq, "left_semi"), rejected
 
 
 def _settle(rows: DataFrame, seq: str) -> DataFrame:
-    """The ``seq`` of every accepted row.
+    """``seq, _hash, url`` of every accepted row.
 
     Rows that are first for both keys are certain, rows sharing a key with a certain
-    row are out, and the few left over ask the same question again.
+    row are out, and the few left over ask the same question again. The first row left
+    is always certain, so every round ends with fewer; rows that share alternately hash
+    and url along a chain need a round for every two links, as each waits for the one
+    before. Each round's accepted rows are written, not kept as a growing union.
     """
-    accepted, rows = None, reliable(rows)
+    spark, folder, number = rows.sparkSession, new_folder(rows.sparkSession, "accepted"), 0
+    rows, shape = reliable(rows), rows.schema
     while True:
-        certain = _first_for_both(rows, seq)
-        accepted = certain if accepted is None else accepted.unionByName(certain)
-        for key in ("article_hash", "url"):
+        path = f"{folder}/round={number}"
+        _first_for_both(rows, seq).write.parquet(path)
+        certain = spark.read.schema(shape).parquet(path)
+        for key in ("_hash", "url"):
             taken = certain.filter(F.col(key).isNotNull()).select(key)
-            rows = rows.join(taken, key, "left_anti")
-        rows = reliable(rows.select(seq, "article_hash", "url"))
+            rows = join_back(rows, taken, key, "left_anti")
+        rows, number = reliable(rows.select(seq, "_hash", "url")), number + 1
         if rows.isEmpty():
-            return accepted.select(seq)
+            return spark.read.schema(shape).parquet(*(f"{folder}/round={i}" for i in range(number)))
 
 
 def _first_for_both(rows: DataFrame, seq: str) -> DataFrame:
-    by_hash = rows.groupBy("article_hash").agg(F.min(seq).alias(seq)).select(seq)
+    by_hash = rows.groupBy("_hash").agg(F.min(seq).alias(seq)).select(seq)
     by_url = rows.filter("url is not null").groupBy("url").agg(F.min(seq).alias(seq))
     without_url = rows.filter("url is null").select(seq)
     firsts = by_hash.join(by_url.select(seq).unionByName(without_url), seq, "left_semi")
@@ -104,31 +117,53 @@ def _first_for_both(rows: DataFrame, seq: str) -> DataFrame:
 
 
 def update_by_id(
-    table: DataFrame, updates: DataFrame, key: str = "id"
+    table: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """New state of the table, and updates whose id is unknown.
+    """New state of the table, and what could not be applied.
 
-    ``updates`` has one row per id with ``changes map<string, string>``. A key that is
+    ``updates`` has rows of an id and ``changes map<string, string>``. A key that is
     present sets its field, to null if its value is null; a key that names no column is
-    ignored.
+    ignored. Of several updates of one field of one id the last in ``order`` counts, and
+    among equals (or without an order) the one with the greatest value. A value that its
+    column's type cannot hold changes nothing. Errors are ``key, field, value, reason``:
+    ``invalid_value`` for such a value, ``unknown_id`` (field and value null) once for
+    each id that the table lacks.
     """
-    changed = updates.select(F.col(key), F.col("changes").alias("_changes"))
-    joined = table.join(changed, key, "left")
-    columns = []
-    for field in table.schema:
-        here = F.col(f"`{field.name}`")
-        if field.name == key:
-            columns.append(here)
-            continue
-        given = F.coalesce(F.map_contains_key("_changes", field.name), F.lit(False))
-        value = F.element_at("_changes", field.name)
-        kind = field.dataType
+    kinds = {f.name: f.dataType for f in table.schema if f.name != key}
+
+    def typed(value: Column, kind: T.DataType) -> Column:
         simple = kind.typeName() not in ("struct", "array", "map")
-        text = kind.simpleString()
-        new = value.try_cast(kind) if simple else F.from_json(value, text)
-        columns.append(F.when(given, new).otherwise(here).alias(field.name))
-    unknown = updates.join(table.select(key), key, "left_anti")
-    return joined.select(*columns), unknown
+        return value.try_cast(kind) if simple else F.from_json(value, kind.simpleString())
+
+    at = F.col(order) if order else F.lit(0)
+    entries = updates.select(F.col(key), at.alias("_at"), F.explode("changes").alias("field", "value"))
+    entries = entries.filter(F.col("field").isin(*kinds))
+    fits = F.lit(False)
+    for name, kind in kinds.items():
+        here = F.col("field") == name
+        fits = F.when(here, typed(F.col("value"), kind).isNotNull()).otherwise(fits)
+    fits = F.col("value").isNull() | fits
+    last = F.max_by(F.struct("value"), F.struct("_at", "value"))["value"]
+    folded = entries.filter(fits).groupBy(key, "field").agg(last.alias("value"))
+    changed = folded.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_changes")
+    )
+    joined = join_back(table, changed, key, "left")
+    columns = []
+    for name in table.columns:
+        here = F.col(f"`{name}`")
+        if name in kinds:
+            given = F.coalesce(F.map_contains_key("_changes", name), F.lit(False))
+            new = typed(F.element_at("_changes", name), kinds[name])
+            here = F.when(given, new).otherwise(here).alias(name)
+        columns.append(here)
+    invalid = entries.filter(~fits).select(key, "field", "value", F.lit("invalid_value").alias("reason"))
+    unknown = join_back(updates.select(key).distinct(), table.select(key).distinct(), key, "left_anti")
+    nothing = F.lit(None).cast("string")
+    unknown = unknown.select(
+        key, nothing.alias("field"), nothing.alias("value"), F.lit("unknown_id").alias("reason")
+    )
+    return joined.select(*columns), invalid.unionByName(unknown)
 
 
 def accepted_fields(updates: DataFrame, table: DataFrame) -> DataFrame:

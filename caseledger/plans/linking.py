@@ -347,63 +347,115 @@ def _sources(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH batch AS (SELECT doc_id AS seq, text, url FROM documents LEFT JOIN pages ON page_id = doc_id),
+WITH batch AS (SELECT doc_id AS seq, CASE WHEN lang = 'es' THEN '' ELSE text END AS text, url
+  FROM documents LEFT JOIN pages ON page_id = doc_id),
 stored AS (SELECT text, url FROM batch JOIN labels ON doc_id = seq WHERE quality = 0),
 fresh AS (SELECT * FROM batch WHERE text NOT IN (SELECT text FROM stored)
-  AND (url IS NULL OR url NOT IN (SELECT url FROM stored WHERE url IS NOT NULL)))
-SELECT seq, seq IN (SELECT min(seq) FROM fresh GROUP BY text) AS accepted FROM batch
+  AND (url IS NULL OR url NOT IN (SELECT url FROM stored WHERE url IS NOT NULL))),
+good AS (SELECT min(seq) AS seq FROM fresh GROUP BY text)
+SELECT seq, CASE WHEN seq IN (SELECT seq FROM good) THEN 'accepted'
+  WHEN text IN (SELECT text FROM stored) OR text IN (SELECT text FROM batch SEMI JOIN good USING (seq))
+  THEN 'article_hash' ELSE 'url' END AS outcome FROM batch
 """)
 def m01_insert_unique(spark, folder):
+    """Spanish texts are missing; they all have the one missing hash."""
     t = Tables(spark, folder)
-    batch = _sources(t)
+    text = F.when(F.col("lang") != "es", F.col("text")).alias("article_text")
+    pages = t.pages.select(F.col("page_id").alias("doc_id"), "url")
+    batch = t.documents.join(pages, "doc_id", "left").select(F.col("doc_id").alias("seq"), text, "url")
+    batch = mt.with_hash(batch)
     older = t.labels.filter("quality = 0").select(F.col("doc_id").alias("seq"))
     stored = batch.join(older, "seq").select("article_hash", "url")
+    return _outcomes(batch, stored)
+
+
+def _outcomes(batch: DataFrame, stored: DataFrame) -> DataFrame:
     accepted, rejected = mt.insert_unique(stored, batch, "seq")
-    return accepted.select("seq", F.lit(True).alias("accepted")).unionByName(
-        rejected.select("seq", F.lit(False).alias("accepted"))
+    accepted = accepted.select("seq", F.lit("accepted").alias("outcome"))
+    return accepted.unionByName(rejected.select("seq", F.col("reason").alias("outcome")))
+
+
+@query("""
+WITH hosts AS (SELECT page_id AS seq, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages)
+SELECT seq, CASE WHEN seq IN (SELECT min(seq) FROM hosts GROUP BY host) THEN 'accepted'
+  ELSE 'url' END AS outcome FROM hosts
+""")
+def m01_equal_urls(spark, folder):
+    """Pages known by their host only, so that many share one."""
+    pages = Tables(spark, folder).pages
+    batch = mt.with_hash(
+        pages.select(
+            F.col("page_id").alias("seq"), F.col("html").alias("article_text"),
+            F.regexp_extract("url", "://([^/]+)", 1).alias("url"),
+        )
     )
+    return _outcomes(batch, batch.select("article_hash", "url").limit(0))
 
 
-def _updates(t: Tables) -> DataFrame:
-    """Reported lines mark their orders; the price is withdrawn, one field is unknown."""
-    marked = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(
-        F.max("l_linenumber").alias("n")
+@query("""
+WITH RECURSIVE ring AS (SELECT doc_id AS seq, doc_id // 8 AS chain FROM documents),
+walk AS (
+  SELECT seq, chain, true AS taken FROM ring WHERE seq = (SELECT min(seq) FROM ring r WHERE r.chain = ring.chain)
+  UNION ALL SELECT r.seq, r.chain, NOT w.taken FROM walk w JOIN ring r ON r.chain = w.chain AND r.seq = w.seq + 1)
+SELECT seq, CASE WHEN taken THEN 'accepted' WHEN seq % 2 = 1 THEN 'article_hash' ELSE 'url' END AS outcome FROM walk
+""")
+def m01_chains(spark, folder):
+    """Eight in a row share alternately a text and a url with the one before."""
+    docs = Tables(spark, folder).documents
+    seq, chain = F.col("doc_id"), F.floor(F.col("doc_id") / 8)
+    pair, other = F.floor(F.col("doc_id") / 2), F.floor((F.col("doc_id") + 1) / 2)
+    url = F.concat_ws("/", F.lit("http://h"), chain, other)
+    batch = mt.with_hash(
+        docs.select(seq.alias("seq"), F.concat_ws(" ", chain, pair).alias("article_text"), url.alias("url"))
     )
+    return _outcomes(batch, batch.select("article_hash", "url").limit(0))
+
+
+def _updates(t: Tables) -> DataFrame:
+    """Reported lines mark their orders, each line in turn; some prices are no numbers."""
     nothing = F.lit(None).cast("string")
+    price = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("about "), "l_quantity")).otherwise(nothing)
     changes = F.map_from_arrays(
         F.array(F.lit("o_orderstatus"), F.lit("o_totalprice"), F.lit("no_such_field")),
-        F.array(F.concat(F.lit("M"), "n"), nothing, F.lit("x")),
+        F.array(F.concat(F.lit("M"), "l_linenumber"), price, F.lit("x")),
+    )
+    known = t.lineitem.filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("turn"), changes.alias("changes")
     )
-    known = marked.select(F.col("l_orderkey").alias("o_orderkey"), changes.alias("changes"))
     unknown = t.supplier.select(
-        (-F.col("s_suppkey") - 1).alias("o_orderkey"),
+        (-F.col("s_suppkey") - 1).alias("o_orderkey"), F.lit(0).alias("turn"),
         F.create_map(F.lit("o_orderstatus"), F.lit("X")).alias("changes"),
     )
     return known.unionByName(unknown)
 
 
 @query("""
-WITH marked AS (SELECT l_orderkey, 'M' || max(l_linenumber) AS status FROM lineitem
-  WHERE l_returnflag = 'R' GROUP BY 1)
+WITH marked AS (SELECT l_orderkey, 'M' || max(l_linenumber) AS status,
+  bool_or(l_linenumber % 2 = 1) AS withdrawn FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT o_orderkey, coalesce(status, o_orderstatus) AS o_orderstatus,
-  CASE WHEN status IS NULL THEN o_totalprice END AS o_totalprice, o_orderpriority
+  CASE WHEN withdrawn IS NOT true THEN o_totalprice END AS o_totalprice, o_orderpriority
 FROM orders LEFT JOIN marked ON l_orderkey = o_orderkey
 """)
 def m02_update_by_id(spark, folder):
     t = Tables(spark, folder)
     table = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return mt.update_by_id(table, _updates(t), "o_orderkey")[0]
+    return mt.update_by_id(table, _updates(t), "o_orderkey", "turn")[0]
 
 
-@query("SELECT -s_suppkey - 1 AS o_orderkey FROM supplier")
-def m02_update_unknown(spark, folder):
+@query("""
+SELECT -s_suppkey - 1 AS o_orderkey, NULL::VARCHAR AS field, NULL::VARCHAR AS value,
+  'unknown_id' AS reason FROM supplier
+UNION ALL SELECT l_orderkey, 'o_totalprice', 'about ' || l_quantity, 'invalid_value' FROM lineitem
+WHERE l_returnflag = 'R' AND l_linenumber % 2 = 0
+""")
+def m02_update_errors(spark, folder):
     t = Tables(spark, folder)
-    return mt.update_by_id(t.orders, _updates(t), "o_orderkey")[1].select("o_orderkey")
+    return mt.update_by_id(t.orders, _updates(t), "o_orderkey", "turn")[1]
 
 
 @query("""
 SELECT l_orderkey AS o_orderkey, 'o_orderstatus,o_totalprice' AS fields FROM lineitem
-WHERE l_returnflag = 'R' GROUP BY 1
+WHERE l_returnflag = 'R'
 UNION ALL SELECT -s_suppkey - 1, 'o_orderstatus' FROM supplier
 """)
 def p15_accepted_fields(spark, folder):

@@ -86,13 +86,31 @@ def test_update_sets_nulls_ignores_unknown_fields_reports_unknown_ids(spark):
         [(1, {"name": None, "n": "7", "nope": "z"}), (2, {"tags": '["p","q"]'}), (9, {"name": "z"})],
         "id int, changes map<string, string>",
     )
-    state, unknown = mt.update_by_id(table, updates)
+    state, errors = mt.update_by_id(table, updates)
     assert sorted(map(tuple, state.collect())) == [(1, None, 7, ["x"]), (2, "b", 6, ["p", "q"])]
-    assert [r["id"] for r in unknown.collect()] == [9]
+    assert list(map(tuple, errors.collect())) == [(9, None, None, "unknown_id")]
     kept = {r["id"]: set(r["changes"]) for r in mt.accepted_fields(updates, table).collect()}
     assert kept[1] == {"name", "n"}
 
 
+def test_updates_lose_nothing(spark):
+    table = spark.createDataFrame([(1, 5, ["x"]), (2, 6, None)], "id int, n int, tags array<string>")
+    updates = spark.createDataFrame(
+        [(1, 2, {"n": "9"}), (1, 1, {"n": "8", "tags": "not a list"}), (2, 1, {"n": "abc"}), (2, 0, {"n": None}), (2, 2, {"n": "7"})],
+        "id int, at int, changes map<string, string>",
+    )
+    state, errors = mt.update_by_id(table, updates, order="at")
+    assert sorted(map(tuple, state.collect())) == [(1, 9, ["x"]), (2, 7, None)]
+    assert sorted(map(tuple, errors.collect())) == [(1, "tags", "not a list", "invalid_value"), (2, "n", "abc", "invalid_value")]
+
+
+def test_rows_without_hash_and_url_end(spark):
+    batch = spark.createDataFrame([(1, None, None), (2, None, None), (3, None, "u"), (4, "a", "u")], "seq int, article_hash string, url string")
+    accepted, rejected = mt.insert_unique(batch.limit(0), batch, "seq")
+    assert sorted(r["seq"] for r in accepted.collect()) == [1, 4]
+    assert {r["seq"]: r["reason"] for r in rejected.collect()} == {2: "article_hash", 3: "article_hash"}
+
+
 def test_delete_incident_takes_its_links(spark):
     incidents = spark.createDataFrame([(1,), (2,)], "id int")
     edges = spark.createDataFrame([(1, "s", 0, True), (2, "s", 0, True)], EDGE)
