@@ -77,10 +77,14 @@ def insert_unique(
     for key, values in known.items():
         open_keys = join_back(open_keys, values, key, "left_anti")
     accepted = _settle(open_keys.select(seq, "_hash", "url"), seq)
-    taken = known["_hash"].unionByName(accepted.select("_hash")).distinct()
+    firsts = accepted.select("_hash", F.col(seq).alias("_since"), F.lit(False).alias("_old"))
+    nothing = F.lit(None).cast(dict(firsts.dtypes)["_since"])
+    taken = firsts.unionByName(known["_hash"].select("_hash", nothing.alias("_since"), F.lit(True).alias("_old")))
+    taken = taken.groupBy("_hash").agg(F.min("_since").alias("_since"), F.max("_old").alias("_old"))
     rest = join_back(hashed(batch), accepted.select(seq), seq, "left_anti")
-    rest = join_back(rest, taken.withColumn("_taken", F.lit(True)), "_hash", "left")
-    reason = F.when(F.col("_taken").isNotNull(), "article_hash").otherwise("url")
+    rest = join_back(rest, taken, "_hash", "left")
+    same_hash = F.coalesce(F.col("_old") | (F.col("_since") < F.col(seq)), F.lit(False))
+    reason = F.when(same_hash, "article_hash").otherwise("url")
     rejected = rest.withColumn("reason", reason).select(*batch.columns, "reason")
     return join_back(batch, accepted.select(seq), seq, "left_semi"), rejected
 

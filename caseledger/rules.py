@@ -36,6 +36,8 @@ INTAKE_STATUSES = (
     "unrelated_content",
     "duplicate_hashed_text",
 )
+# An article whose url is stored already; callers get the existing record instead.
+DUPLICATE_URL = "duplicate_url"
 SORT_FIELDS = ("created_at", "modified_at", "event_date")
 
 # limits
