@@ -26,7 +26,7 @@ HEADLINE = (
     "p01_flatten_taxa", "p03_flatten_tariffs", "m01_insert_unique", "m02_update_by_id",
     "m05_add_links", "m06_remove_links", "m11_audit_updates", "k01_keyword_candidates",
     "k02_similarity_ranking", "k03_diverse_selection", "k04_frequency_ranking",
-    "k05_clusters", "k06_query_builder", "k09_corpus_report", "h02_cleaning_stages",
+    "k05_cluster_invariants", "k06_query_builder", "k09_corpus_report", "h02_cleaning_stages",
     "r01_intake_status", "r04_persisted_tables", "t01_intake_stream",
 )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -62,13 +61,15 @@ def join_non_empty(parts: Column, separator: str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def fold_to_ascii(text: pd.Series) -> pd.Series:
+def _decomposed(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, then everything outside ASCII is dropped."""
-    return text.map(_ascii, na_action="ignore")
+    folded = text.str.normalize("NFKD").str.encode("ascii", "ignore")
+    return folded.str.decode("ascii")
 
 
-def _ascii(text: str) -> str:
-    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+def fold_to_ascii(text: Column) -> Column:
+    """ASCII texts stay as they are, without a way through Python; see ``_decomposed``."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
 
 
 def words(text: Column) -> Column:

@@ -11,9 +11,6 @@ from caseledger.operators.skew import join_back
 from caseledger.storage import reliable
 
 
-SMALL_DICTIONARY = 16 * 1024 * 1024
-
-
 def _suffixed(columns: list[str], taken: set[str], suffix: str) -> dict[str, str]:
     return {c: f"{c}{suffix}" for c in columns if c in taken}
 
@@ -21,11 +18,11 @@ def _suffixed(columns: list[str], taken: set[str], suffix: str) -> dict[str, str
 def _without_partner(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key the other side lacks; all it needs of that side is distinct keys."""
     keys = others.select(F.col(f"`{other_key}`").alias("_key")).distinct()
-    return rows.join(keys, rows[f"`{key}`"].eqNullSafe(F.col("_key")), "left_anti")
+    return rows.join(keys, rows[f"`{key}`"] == F.col("_key"), "left_anti")
 
 
 def outer_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> DataFrame:
-    """Full outer join that also pairs null keys; every pair of equal keys is kept.
+    """Full outer join; every pair of equal keys is kept, a null key has no partner.
 
     Colliding columns of the right side get ``suffix``. Written as an inner join plus
     the rows of either side without a partner: adaptive execution can split a hot key
@@ -36,7 +33,7 @@ def outer_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> Data
         _suffixed([c for c in right.columns if c != key], taken, suffix)
     )
     rest = [F.col(f"r.`{c}`") for c in right.columns if c != key]
-    same = F.col(f"l.`{key}`").eqNullSafe(F.col(f"r.`{key}`"))
+    same = F.col(f"l.`{key}`") == F.col(f"r.`{key}`")
     paired = left.alias("l").join(right.alias("r"), same).select("l.*", *rest)
     for alone in (
         _without_partner(left, key, right, key), _without_partner(right, key, left, key)
@@ -49,7 +46,8 @@ def left_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     left_suffix: str, right_suffix: str,
 ) -> DataFrame:
-    """Left join on differently named keys; both sides of a collision are renamed.
+    """Left join on differently named keys; both sides of a collision are renamed and a
+    null key has no partner.
 
     In two parts for the same reason: the right side of a left join is never split.
     """
@@ -59,7 +57,7 @@ def left_join(
     left = left.withColumnsRenamed(left_names)
     right = right.withColumnsRenamed(right_names)
     lk, rk = left_names.get(left_key, left_key), right_names.get(right_key, right_key)
-    paired = left.join(right, left[f"`{lk}`"].eqNullSafe(right[f"`{rk}`"]))
+    paired = left.join(right, left[f"`{lk}`"] == right[f"`{rk}`"])
     alone = _without_partner(left, lk, right, rk)
     return paired.unionByName(alone, allowMissingColumns=True)
 
@@ -210,25 +208,6 @@ def duplicate_groups(incidents: DataFrame, vessel: str, key: str = "id") -> Data
     )
 
 
-def term_pairs(left: DataFrame, right: DataFrame, left_term: str, right_term: str) -> DataFrame:
-    """Every pair of two numbered term lists, in row order of the left one.
-
-    ``left`` and ``right`` carry ``position`` counted from 1. Pair numbers are generated
-    and looked up by equi-join, so the work spreads whatever the lists' sizes.
-    """
-    width = right.agg(F.count(F.lit(1))).scalar().cast("bigint")
-    slots = left.select(F.col("position").alias("_row"), left_term, width.alias("_width"))
-    first = F.lit(1).cast("bigint")
-    slots = slots.filter("_width > 0").select(
-        "*", F.explode(F.sequence(first, F.col("_width"))).alias("_column")
-    )
-    lookup = right.select(F.col("position").alias("_column"), F.col(right_term))
-    return slots.join(lookup, "_column").select(
-        ((F.col("_row") - 1) * F.col("_width") + F.col("_column")).alias("pair"),
-        left_term, right_term,
-    )
-
-
 def _grams(tokens: Column, size: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1)))
     grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
@@ -236,32 +215,22 @@ def _grams(tokens: Column, size: int) -> Column:
 
 
 def dictionary_hits(
-    documents: DataFrame, terms: DataFrame, key: str, text: str, term: str, max_words: int = 1
+    documents: DataFrame, terms: DataFrame, key: str, text: str, term: str
 ) -> DataFrame:
-    """(document, term, hits) for a dictionary of any size, by equi-join on words.
+    """(document, term, hits) for a dictionary of any size, by equi-join on phrases.
 
-    A term of up to ``max_words`` words matches whole words in sequence, case ignored.
-    A dictionary below ``SMALL_DICTIONARY`` bytes, which is checked, is broadcast, and
-    only hits are counted. With a larger one, phrases are counted per document before
-    they meet it: a word found everywhere then costs one row per document, not one per
-    use. Texts are never shuffled.
+    A term matches whole words in sequence, case ignored; how many words its phrases may
+    have is read from the dictionary. Phrases are counted per document before they meet
+    it, so a word found everywhere costs one row per document, not one per use. Texts
+    are never shuffled.
     """
-    tokens = word_tokens(F.col(text))
-    grams = F.concat(*[_grams(F.col("_tokens"), n) for n in range(1, max_words + 1)])
-    found = documents.select(key, tokens.alias("_tokens")).select(
-        key, F.explode(grams).alias("_phrase")
-    )
-    spelled = F.array_join(word_tokens(F.col(term)), " ")
-    wanted = terms.select(F.col(term), spelled.alias("_phrase")).filter("_phrase <> ''").distinct()
-    count = F.count(F.lit(1)).alias("hits")
-    if _is_small(wanted):
-        hits = found.join(F.broadcast(wanted), "_phrase")
-        return hits.groupBy(key, term).agg(count)
-    counted = found.groupBy(key, "_phrase").agg(count)
+    tokens = word_tokens(F.col(term))
+    wanted = terms.select(F.col(term), F.array_join(tokens, " ").alias("_phrase"), F.size(tokens).alias("_words"))
+    wanted = wanted.filter("_words > 0").distinct()
+    lengths = sorted(r[0] for r in wanted.select("_words").distinct().collect())
+    nothing = F.array().cast("array<string>")
+    grams = F.concat(nothing, *[_grams(F.col("_tokens"), n) for n in lengths])
+    found = documents.select(key, word_tokens(F.col(text)).alias("_tokens"))
+    found = found.select(key, F.explode(grams).alias("_phrase"))
+    counted = found.groupBy(key, "_phrase").agg(F.count(F.lit(1)).alias("hits"))
     return join_back(counted, wanted, "_phrase").select(key, term, "hits")
-
-
-def _is_small(wanted: DataFrame) -> bool:
-    width = sum((F.octet_length(c) for c in wanted.columns), F.lit(32))
-    size = wanted.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    return size <= SMALL_DICTIONARY

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -46,54 +42,14 @@ def select_diverse(
     scored: DataFrame, group: str, key: str, vector: str,
     k: int = rules.KEYWORDS_PER_DOCUMENT,
     threshold: float = rules.DIVERSITY_THRESHOLD,
-    group_limit: int = 5_000,
 ) -> DataFrame:
     """Walk candidates by falling score, keep those unlike all kept before, up to ``k``.
 
-    Returns ``group, key, score, rank``. Groups of up to ``group_limit`` rows are walked
-    in one go. In larger ones each kept candidate is found by a grouped minimum and the
-    candidates too close to it are dropped, which selects the same rows in ``k`` rounds
-    with no group ever gathered.
+    Returns ``group, key, score, rank``. Each kept candidate is found by a grouped
+    minimum and the candidates too close to it are dropped, so ``k`` rounds select what
+    a walk would, and no group is ever gathered.
     """
     rows = scored.select(group, key, "score", unit(F.col(vector)).alias("_unit"))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    large = reliable(sizes.filter(F.col("_n") > group_limit).select(group))
-    small = rows.join(large, group, "left_anti")
-    kept = small.groupBy(group).applyInPandas(
-        _walker(group, key, k, threshold), _selection_schema(rows, group, key)
-    )
-    if large.isEmpty():
-        return kept
-    return kept.unionByName(
-        _rounds(rows.join(large, group, "left_semi"), group, key, k, threshold)
-    )
-
-
-def _selection_schema(rows: DataFrame, group: str, key: str) -> str:
-    kinds = dict(rows.dtypes)
-    return f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, score double, rank int"
-
-
-def _walker(
-    group: str, key: str, k: int, threshold: float
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", key], ascending=[False, True])
-        units = np.vstack(rows["_unit"].to_numpy())
-        open_rows = np.ones(len(rows), dtype=bool)
-        kept: list[int] = []
-        while len(kept) < k and open_rows.any():
-            chosen = int(open_rows.argmax())
-            kept.append(chosen)
-            open_rows &= units @ units[chosen] < threshold
-            open_rows[chosen] = False
-        out = rows.iloc[kept][[group, key, "score"]]
-        return out.assign(rank=np.arange(1, len(out) + 1, dtype="int32"))
-
-    return walk
-
-
-def _rounds(rows: DataFrame, group: str, key: str, k: int, threshold: float) -> DataFrame:
     remaining = reliable(rows)
     selected = None
     for rank in range(1, k + 1):
@@ -109,7 +65,7 @@ def _rounds(rows: DataFrame, group: str, key: str, k: int, threshold: float) ->
         if rank == k:
             break
         unlike = dot(F.col("_unit"), F.col("_chosen")) < threshold
-        remaining = remaining.join(best.drop("score"), group).filter(
+        remaining = join_back(remaining, best.drop("score"), group).filter(
             unlike & (F.col(key) != F.col("_key"))
         )
         remaining = reliable(remaining.select(group, key, "score", "_unit"))

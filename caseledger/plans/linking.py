@@ -323,18 +323,6 @@ def j07_existing_text(spark, folder):
     return checked.select("doc_id", "existing_id", verdict.alias("verdict"))
 
 
-@query("""
-WITH adjectives AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a FROM part),
-nouns AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS b FROM part)
-SELECT a, b, row_number() OVER (ORDER BY a, b) AS pair FROM adjectives CROSS JOIN nouns
-""")
-def j09_term_pairs(spark, folder):
-    part = Tables(spark, folder).part
-    left = number_rows(part.select(_word(0).alias("a")).distinct(), ["a"])
-    right = number_rows(part.select(_word(1).alias("b")).distinct(), ["b"])
-    return jn.term_pairs(left, right, "a", "b")
-
-
 # --- table maintenance ---------------------------------------------------------------
 
 

@@ -117,7 +117,7 @@ def s04_json_rows(spark, folder):
     )
     lines = Tables(spark, folder).lineitem.select(F.to_json(F.array(full, bare)))
     lines.write.text(path)
-    rows = payloads.read_rows(spark, path, schemas.TARIFF_ROW, multi_line=False)
+    rows, _ = payloads.read_rows(spark, path, schemas.TARIFF_ROW, multi_line=False)
     return flatten_tariffs(rows).select("htsno", "units", "description")
 
 
@@ -144,10 +144,28 @@ def s05_json_envelope(spark, folder):
         .otherwise(F.to_json(F.struct(kind.alias("message"))))
     )
     Tables(spark, folder).events.select(envelope).write.text(path)
-    rows = payloads.read_assessments(spark, path, multi_line=False)
+    rows, _ = payloads.read_assessments(spark, path, multi_line=False)
     return flatten_assessments(rows).select("sis_taxon_id", "taxon_scientific_name", "scope_codes")
 
 
+@query("""
+SELECT '{"htsno": "' || l_orderkey || '.' || l_linenumber || '", "units": [' AS record, count(*) AS n
+FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
+UNION ALL SELECT 'sound', count(*) FROM lineitem WHERE l_returnflag <> 'R'
+""")
+def s04_rejected_rows(spark, folder):
+    """Returned lines are cut off in the middle of a record."""
+    path = new_folder(spark, "tariffs")
+    number = F.concat_ws(".", "l_orderkey", "l_linenumber")
+    cut = F.concat(F.lit('{"htsno": "'), number, F.lit('", "units": ['))
+    whole = F.to_json(F.struct(number.alias("htsno"), F.array("l_linestatus").alias("units")))
+    lines = Tables(spark, folder).lineitem
+    lines.select(F.when(F.col("l_returnflag") == "R", cut).otherwise(whole)).write.text(path)
+    rows, rejected = payloads.read_rows(spark, path, schemas.TARIFF_ROW, multi_line=False)
+    count = F.count(F.lit(1)).alias("n")
+    return rejected.groupBy("record").agg(count).unionByName(rows.agg(count).select(F.lit("sound").alias("record"), "n"))
+
+
 PAGE_SIZE = 100
 
 

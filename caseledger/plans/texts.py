@@ -11,11 +11,11 @@ from caseledger.operators import keywords as kw
 from caseledger.operators import pages as pg
 from caseledger.operators import ranking as rk
 from caseledger.operators import reports as rp
-from caseledger.operators.ordering import assign_chunks, number_rows
+from caseledger.operators.ordering import number_rows
 from caseledger.plans import records
 from caseledger.plans.registry import Tables, query
 from caseledger.sources.spreadsheets import read_csv
-from caseledger.sources.tables import spread, write_sheets
+from caseledger.sources.tables import write_sheets
 from caseledger.storage import new_folder, stored
 
 # Words are delimited by hand, since the SQL engine's \b knows ASCII letters only.
@@ -47,7 +47,7 @@ keywords AS (SELECT doc_id, keyword, tf, df, score, rank FROM ranked WHERE n > 1
 
 
 def _documents(t: Tables) -> DataFrame:
-    return spread(t.documents.select("doc_id", "text", "lang"))
+    return t.documents.select("doc_id", "text", "lang")
 
 
 @query(f"""
@@ -151,20 +151,23 @@ def j12_documents_with_cluster(spark, folder):
 @query(r"""
 WITH words AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'),
   lambda w: w <> '') AS w FROM benchmark),
-terms AS (SELECT DISTINCT w[1] AS term FROM words UNION SELECT DISTINCT w[1] || ' ' || w[2] FROM words),
+terms AS (SELECT DISTINCT w[1] AS term FROM words UNION SELECT DISTINCT w[1] || ' ' || w[2] FROM words
+  UNION SELECT DISTINCT w[3] || ' ' || w[4] || ' ' || w[5] FROM words),
 tokens AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'),
   lambda w: w <> '') AS w FROM documents),
 grams AS (SELECT doc_id, unnest(w) AS term FROM tokens UNION ALL
   SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
-  FROM tokens)
+  FROM tokens UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM tokens)
 SELECT doc_id, term, count(*) AS hits FROM grams JOIN terms USING (term) GROUP BY ALL
 """)
 def j13_dictionary_hits(spark, folder):
     t = Tables(spark, folder)
     first = t.benchmark.select(word_tokens(F.col("text")).alias("w"))
-    phrase = F.explode(F.array(F.get("w", F.lit(0)), F.array_join(F.slice("w", 1, 2), " ")))
+    joined = [F.array_join(F.slice("w", at, n), " ") for at, n in ((1, 2), (3, 3))]
+    phrase = F.explode(F.array(F.get("w", F.lit(0)), *joined))
     terms = first.select(phrase.alias("term")).distinct()
-    return jn.dictionary_hits(_documents(t), terms, "doc_id", "text", "term", max_words=2)
+    return jn.dictionary_hits(_documents(t), terms, "doc_id", "text", "term")
 
 
 @query(f"""
@@ -243,66 +246,14 @@ def _query_terms(t: Tables) -> DataFrame:
     return number_rows(terms, ["term"])
 
 
-@query("""
-WITH terms AS (SELECT DISTINCT coalesce(CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'fish'
-  WHEN 'red' THEN 'seafood' WHEN 'blue' THEN 'fraud' WHEN 'hot' THEN 'illegal' END,
-  p_name || ' ' || p_brand) AS term FROM part),
-fish AS (SELECT term AS f, row_number() OVER (ORDER BY term) AS i FROM terms
-  WHERE term IN ('fish', 'seafood')),
-enf AS (SELECT term AS e, row_number() OVER (ORDER BY term) AS j FROM terms
-  WHERE term IN ('fraud', 'illegal')),
-pairs AS (SELECT f, e, (i - 1) * (SELECT count(*) FROM enf) + j AS pair FROM fish, enf),
-others AS (SELECT term, row_number() OVER (ORDER BY term) AS pos FROM terms
-  WHERE term NOT IN ('fish', 'seafood', 'fraud', 'illegal')),
-chunked AS (SELECT *, (pos - 1) // greatest(1, (SELECT count(*) FROM others)
-  // (SELECT count(*) FROM pairs)) + 1 AS pair FROM others)
-SELECT p.pair, f AS fish, e AS enforcement,
-  count(term) AS offered FROM pairs p LEFT JOIN chunked c ON c.pair = p.pair GROUP BY ALL
-""")
-def k06_pairs_and_chunks(spark, folder):
-    """The pairs and how many terms each is offered, before any cut by length."""
-    t = Tables(spark, folder)
-    lists = kw.term_lists(_query_terms(t))
-    count = F.count(F.lit(1))
-    pairs = jn.term_pairs(
-        lists["fish"].withColumnRenamed("term", "fish"),
-        lists["enforcement"].withColumnRenamed("term", "enforcement"), "fish", "enforcement",
-    )
-    size = kw.chunk_width(lists)
-    offered = assign_chunks(lists["other"], size).groupBy((F.col("chunk") + 1).alias("pair")).agg(
-        count.alias("offered")
-    )
-    joined = pairs.join(offered, "pair", "left")
-    return joined.withColumn("offered", F.coalesce("offered", F.lit(0).cast("bigint")))
-
-
-def _packing_sql(unused: str, room: int) -> str:
-    """First-fit packing as a recursion over the ordered terms; carries the bins' fill."""
-    return f"""
-packing(turn, bins, bin, term) AS (
-  SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT, ''
-  UNION ALL SELECT p.turn + 1,
-    CASE WHEN slot IS NULL THEN list_append(bins, cost)
-      ELSE list_concat(bins[:slot - 1], [bins[slot] + cost], bins[slot + 1:]) END,
-    coalesce(slot, len(bins) + 1), u.term
-  FROM packing p JOIN {unused} u ON u.turn = p.turn + 1,
-    LATERAL (SELECT length(u.term) + 6 AS cost) c,
-    LATERAL (SELECT nullif(list_position(list_transform(bins, lambda b: b + cost < {room}), true), 0) AS slot) f),
-packed AS (SELECT bin, '(' || {{base}} || ') AND ("' || string_agg(term, '" OR "' ORDER BY turn) || '")'
-  AS query FROM packing WHERE turn > 0 GROUP BY bin)
-"""
-
-
 TERMS_SQL = """
 terms AS (SELECT DISTINCT coalesce(CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'fish'
   WHEN 'red' THEN 'seafood' WHEN 'blue' THEN 'fraud' WHEN 'hot' THEN 'illegal' END,
   p_name || ' ' || p_brand) AS term FROM part)
 """
-_ROOM = 500 - 20 - len("fish") - len("fraud") - 9
 
-
-@query(f"""
-WITH RECURSIVE {TERMS_SQL},
+FOLDED_SQL = f"""
+{TERMS_SQL.rstrip()},
 fish AS (SELECT term AS f, row_number() OVER (ORDER BY term) AS i FROM terms
   WHERE term IN ('fish', 'seafood')),
 enf AS (SELECT term AS e, row_number() OVER (ORDER BY term) AS j FROM terms
@@ -321,29 +272,24 @@ folding(pair, nth, size, taken) AS (
     CASE WHEN size + length(term) + 6 < 480 THEN list_append(taken, term) ELSE taken END
   FROM folding s JOIN offered o ON o.pair = s.pair AND o.nth = s.nth + 1),
 folded AS (SELECT pair, base, arg_max(taken, nth) AS taken FROM folding JOIN pairs USING (pair)
-  GROUP BY ALL),
-left_over AS (SELECT term, row_number() OVER (ORDER BY term) AS turn FROM others
-  WHERE term NOT IN (SELECT unnest(taken) FROM folded)),
-{_packing_sql("left_over", _ROOM).format(base="""'"fish" AND "fraud"'""")}
-SELECT row_number() OVER (ORDER BY stage, spot) AS query_number, query FROM (
-  SELECT 0 AS stage, pair AS spot, '(' || base || ') AND ("' || array_to_string(taken, '" OR "') || '")'
-    AS query FROM folded
-  UNION ALL SELECT 1, bin, query FROM packed)
+  GROUP BY ALL)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {FOLDED_SQL}
+SELECT pair AS query_number, '(' || base || ') AND ("' || array_to_string(taken, '" OR "') || '")' AS query FROM folded
 """)
 def k06_query_builder(spark, folder):
-    return kw.build_queries(_query_terms(Tables(spark, folder)))
+    return kw.build_queries(_query_terms(Tables(spark, folder)))[0]
 
 
 @query(f"""
-WITH RECURSIVE {TERMS_SQL},
-numbered AS (SELECT term, row_number() OVER (ORDER BY term) AS turn FROM terms),
-{_packing_sql("numbered", 500 - 20 - len("fish") - len("illegal") - 9).format(
-    base="""'"fish" AND "illegal"'""")}
-SELECT query FROM packed
+WITH RECURSIVE {FOLDED_SQL}
+SELECT term FROM others WHERE term NOT IN (SELECT unnest(taken) FROM folded)
 """)
-def k07_leftover_packing(spark, folder):
-    terms = _query_terms(Tables(spark, folder))
-    return kw.leftover_queries(terms, "fish", "illegal").select("query")
+def k06_unused_terms(spark, folder):
+    return kw.build_queries(_query_terms(Tables(spark, folder)))[1].select("term")
 
 
 @query("""
@@ -352,8 +298,10 @@ SELECT 'Q' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS
 FROM (SELECT text, row_number() OVER (ORDER BY doc_id) AS n FROM documents)
 """)
 def k08_query_table(spark, folder):
-    docs = number_rows(Tables(spark, folder).documents.select("doc_id", "text"), ["doc_id"], "query_number")
-    return kw.query_table(docs.select("query_number", F.col("text").alias("query")))
+    docs = Tables(spark, folder).documents
+    numbers = number_rows(docs.select("doc_id"), ["doc_id"], "query_number")
+    queries = docs.join(numbers, "doc_id")
+    return kw.query_table(queries.select("query_number", F.col("text").alias("query")))
 
 
 # --- pages ----------------------------------------------------------------------------
@@ -373,7 +321,7 @@ WITH heads AS (SELECT page_id, {_unescaped("trim(regexp_extract(html, '<h1[^>]*>
 SELECT page_id, CASE WHEN length(title) > 5 THEN title END AS title FROM heads
 """)
 def h01_titles(spark, folder):
-    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "title")
+    return pg.clean_pages(Tables(spark, folder).pages).select("page_id", "title")
 
 
 def _visible(html: str) -> str:
@@ -406,7 +354,7 @@ k3 AS (SELECT *, {_size('h3')} >= 150 AS stage3_kept,
 
 @query(f"WITH {STAGES_SQL} SELECT page_id, stage1_kept, stage2_kept, stage3_kept FROM k3")
 def h02_cleaning_stages(spark, folder):
-    cleaned = pg.clean_pages(spread(Tables(spark, folder).pages))
+    cleaned = pg.clean_pages(Tables(spark, folder).pages)
     return cleaned.select("page_id", "stage1_kept", "stage2_kept", "stage3_kept")
 
 
@@ -428,7 +376,7 @@ FROM plain
 """)
 def h06_simplified_html(spark, folder):
     """The simplified page; closing tags are left out, as where they go is implied."""
-    cleaned = pg.clean_pages(spread(Tables(spark, folder).pages))
+    cleaned = pg.clean_pages(Tables(spark, folder).pages)
     opening = F.regexp_replace("filtered_html", "</[^>]+>", "")
     opening = F.replace(opening, F.lit("<br/>"), F.lit("<br>"))
     return cleaned.select("page_id", opening.alias("opening_markup"))
@@ -440,7 +388,7 @@ SELECT page_id, url, array_to_string({_visible("regexp_replace(final, '(?s)^.*?<
   chr(10) || chr(10)) AS text FROM k3
 """)
 def h07_plain_text(spark, folder):
-    return pg.clean_pages(spread(Tables(spark, folder).pages)).select("page_id", "url", "text")
+    return pg.clean_pages(Tables(spark, folder).pages).select("page_id", "url", "text")
 
 
 @query("""
@@ -528,13 +476,10 @@ def k03_diverse_selection(spark, folder):
     return chosen.withColumn("score", F.round("score", 6))
 
 
-@query()
-def k05_clusters(spark, folder):
-    labels, _ = rk.cluster_documents(Tables(spark, folder).embeddings, "vec_id", "embedding")
-    return labels
-
-
-@query("SELECT 5 AS clusters, count(*) AS documents, count(*) AS with_nearest_centre FROM embeddings")
+@query("""
+SELECT 5 AS clusters, count(*) AS documents, count(*) AS with_nearest_centre, true AS centres_are_means,
+  true AS better_than_one FROM embeddings
+""")
 def k05_cluster_invariants(spark, folder):
     """Clusterings differ between libraries; what any of them must satisfy does not."""
     vectors = Tables(spark, folder).embeddings
@@ -553,7 +498,19 @@ def k05_cluster_invariants(spark, folder):
         ),
     )
     nearest = F.array_min(distances)["cluster"] == F.col("cluster")
+    placed = placed.withColumns({"_near": nearest, "_cost": F.array_min(distances)["distance"]})
+    means = rk.centroids(placed, "cluster", "embedding").join(centres, "cluster")
+    off = F.array_max(F.zip_with("centroid", "centre", lambda a, b: F.abs(a - b)))
+    one = rk.centroids(vectors.withColumn("all", F.lit(1)), "all", "embedding").select("centroid").scalar()
+    spread_out = vectors.withColumn("_middle", one).agg(
+        F.sum(F.aggregate(
+            F.zip_with("embedding", "_middle", lambda x, y: (x - y) * (x - y)),
+            F.lit(0.0), lambda total, d: total + d,
+        ))
+    )
     return placed.agg(
         F.count_distinct("cluster").cast("int").alias("clusters"),
-        F.count(F.lit(1)).alias("documents"), F.count_if(nearest).alias("with_nearest_centre"),
+        F.count(F.lit(1)).alias("documents"), F.count_if("_near").alias("with_nearest_centre"),
+        (means.agg(F.max(off)).scalar() < 1e-6).alias("centres_are_means"),
+        (F.sum("_cost") < spread_out.scalar()).alias("better_than_one"),
     )

@@ -79,13 +79,13 @@ def test_walk_matches_a_plain_loop(spark):
         assert walk(spark, outcomes, target, attempts) == expected
 
 
-def test_outer_join_pairs_null_keys_and_fans_out(spark):
+def test_outer_join_leaves_null_keys_alone_and_fans_out(spark):
     left = spark.createDataFrame([(None, "l0"), (1, "l1")], "Report_ID int, c string")
     right = spark.createDataFrame([(None, "r0"), (2, "r2")], "Report_ID int, c string")
     joined = jn.outer_join(left, right, "Report_ID", "_species")
     assert joined.columns == ["Report_ID", "c", "c_species"]
     assert rows(joined) == rows(
-        spark.createDataFrame([(None, "l0", "r0"), (1, "l1", None), (2, None, "r2")], joined.schema)
+        spark.createDataFrame([(None, "l0", None), (None, None, "r0"), (1, "l1", None), (2, None, "r2")], joined.schema)
     )
     two = spark.createDataFrame([(7, "a"), (7, "b")], "Report_ID int, x string")
     three = spark.createDataFrame([(7, i) for i in range(3)], "Report_ID int, y int")
@@ -141,25 +141,15 @@ def test_vessel_groups_write_no_pairs(spark):
     assert jn.same_vessel(frame, "vessel", None).count() == 0
 
 
-def test_term_pairs_keep_list_order(spark):
-    left = spark.createDataFrame([(1, "a"), (2, "b")], "position bigint, l string")
-    right = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "position bigint, r string")
-    pairs = jn.term_pairs(left, right, "l", "r").orderBy("pair").collect()
-    assert [tuple(p) for p in pairs] == [
-        (1, "a", "x"), (2, "a", "y"), (3, "a", "z"), (4, "b", "x"), (5, "b", "y"), (6, "b", "z")
-    ]
-    assert jn.term_pairs(left, right.limit(0), "l", "r").count() == 0
-
-
-def test_dictionary_paths_agree(spark, monkeypatch):
+def test_dictionary_terms_of_any_length(spark):
     docs = spark.createDataFrame(
-        [(1, "Shark fin, shark-fin and sharks"), (2, "fin"), (3, "")], "id int, text string"
+        [(1, "Shark fin, shark-fin and sharks"), (2, "fin"), (3, ""), (4, "see The RED, fish!")], "id int, text string"
     )
-    terms = spark.createDataFrame([("Shark Fin",), ("fin",), ("fin",), ("sharks",), ("--",)], "term string")
-    small = rows(jn.dictionary_hits(docs, terms, "id", "text", "term", 2))
-    monkeypatch.setattr(jn, "SMALL_DICTIONARY", 0)
-    assert rows(jn.dictionary_hits(docs, terms, "id", "text", "term", 2)) == small
-    assert small == [(1, "Shark Fin", 2), (1, "fin", 2), (1, "sharks", 1), (2, "fin", 1)]
+    terms = spark.createDataFrame([("Shark Fin",), ("fin",), ("fin",), ("sharks",), ("--",), ("the red fish",)], "term string")
+    assert rows(jn.dictionary_hits(docs, terms, "id", "text", "term")) == [
+        (1, "Shark Fin", 2), (1, "fin", 2), (1, "sharks", 1), (2, "fin", 1), (4, "the red fish", 1)
+    ]
+    assert rows(jn.dictionary_hits(docs, terms.limit(0), "id", "text", "term")) == []
 
 
 def test_existing_keys(spark):

@@ -56,16 +56,27 @@ ITEM = {"sis_taxon_id": 1, "scopes": [{"description": {"en": "Global"}, "code":
 )
 def test_envelopes(spark, tmp_path, envelope, n):
     write(tmp_path / "e.json", json.dumps(envelope, indent=1))
-    rows = payloads.read_assessments(spark, str(tmp_path / "e.json"))
-    assert rows.count() == n
+    rows, rejected = payloads.read_assessments(spark, str(tmp_path / "e.json"))
+    assert rows.count() == n and rejected.count() == 0
     if n:
         flat = ft.flatten_assessments(rows).first()
         assert (flat["scope_descriptions"], flat["scope_codes"]) == ("Global", "1; 2")
 
 
-def test_broken_json_gives_no_rows(spark, tmp_path):
+def test_broken_json_is_rejected(spark, tmp_path):
     write(tmp_path / "e.json", '{"result": [{"sis_taxon_id": 1}')
-    assert payloads.read_assessments(spark, str(tmp_path / "e.json")).count() == 0
+    rows, rejected = payloads.read_assessments(spark, str(tmp_path / "e.json"))
+    assert rows.count() == 0 and rejected.first()["file"].endswith("e.json")
+    write(tmp_path / "h.json", '{"htsno": "1"}\n{"htsno": "2", "units": [\n{"htsno": "3"}\n')
+    rows, rejected = payloads.read_rows(spark, str(tmp_path / "h.json"), schemas.TARIFF_ROW, multi_line=False)
+    assert {r["htsno"] for r in rows.collect()} == {"1", "3"}
+    assert [r["record"] for r in rejected.collect()] == ['{"htsno": "2", "units": [']
+
+
+def test_announced_total_of_none_gives_nothing(spark):
+    pages = spark.createDataFrame([(1, 0, ["a"])], "page bigint, total_entries bigint, items array<string>")
+    elements, totals = payloads.merge_pages(pages, 10)
+    assert elements.count() == 0 and tuple(totals.select("pages_fetched", "actual_entries").first()) == (1, 0)
 
 
 def test_taxa_payload(spark, tmp_path):
@@ -73,7 +84,7 @@ def test_taxa_payload(spark, tmp_path):
         {"name": "a", "language": "FR"}, {"name": "b", "language": "EN"}, {"name": "c", "language": "EN"}]}
     page = {"pagination": {"current_page": 1}, "taxon_concepts": [taxon, {"id": 2, "common_names": []}]}
     write(tmp_path / "t.json", json.dumps(page))
-    flat = ft.flatten_taxa(payloads.read_taxa(spark, str(tmp_path / "t.json"))).orderBy("id").collect()
+    flat = ft.flatten_taxa(payloads.read_taxa(spark, str(tmp_path / "t.json"))[0]).orderBy("id").collect()
     assert tuple(flat[0].asDict()) == ft.TAXON_COLUMNS
     assert (flat[0]["common_name_en"], flat[0]["all_common_names"], flat[0]["order"]) == ("b", "a (FR); b (EN); c (EN)", "o")
     assert (flat[1]["common_name_en"], flat[1]["all_common_names"], flat[1]["order"]) == (None, None, None)
@@ -83,7 +94,7 @@ def test_tariff_rows(spark, tmp_path):
     note = {"columns": ["a", "b"], "value": "v", "type": "t"}
     rows = [{"htsno": "1", "units": ["kg", "No."], "footnotes": [note, note]}, {"htsno": "2", "footnotes": None}]
     write(tmp_path / "h.json", json.dumps(rows))
-    flat = ft.flatten_tariffs(payloads.read_rows(spark, str(tmp_path / "h.json"), schemas.TARIFF_ROW))
+    flat = ft.flatten_tariffs(payloads.read_rows(spark, str(tmp_path / "h.json"), schemas.TARIFF_ROW)[0])
     flat = {r["htsno"]: r.asDict() for r in flat.collect()}
     assert flat["1"]["footnotes"] == "[t] v (cols: a, b) | [t] v (cols: a, b)"
     assert flat["1"]["units"] == "kg, No."
@@ -156,14 +167,11 @@ def test_schema_export(spark):
     assert "incident_fingerprint" in [f["name"] for f in rows["incidents"]["fields"]]
 
 
-def test_crawl_report_and_its_limit(spark, tmp_path):
+def test_crawl_report(spark, tmp_path):
     articles = spark.createDataFrame([("u", "t", "s")], "url string, title string, site string")
-    row = tables.report_document(articles).first()
-    assert row["total_articles"] == 1 and row["articles"][0]["url"] == "u"
-    with pytest.raises(ValueError):
-        tables.report_document(articles, limit=0)
-    tables.write_rows(articles, str(tmp_path / "r"))
-    assert spark.read.json(str(tmp_path / "r")).count() == 1
+    tables.write_crawl_report(articles, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/articles")).first()["url"] == "u"
+    assert spark.read.json(str(tmp_path / "r/report")).first()["total_articles"] == 1
 
 
 def test_progress_resumes(spark, tmp_path):
