@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS_KEPT = 400_000  # entries of a task's table of words; it is cleared when full
+_WORDS_KEPT = 250_000  # entries of a task's table of words; it is cleared when full
 _PIECE = 1 << 16  # characters that are normalised and cut into words at once
 _SHORT = 48  # symbols up to which scanning all pairs beats a heap
 
@@ -204,7 +204,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.words: dict[str, tuple[bytes, str, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.encoder, self.decoder = Encoder(vocabulary), Decoder(vocabulary)
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -234,8 +234,11 @@ class Codec:
             text = text.replace("\u03a3", "\u03c3")
         return text.lower()
 
-    def known(self, word: str) -> tuple[bytes, str, str]:
-        """Ids of a word as little-endian 32-bit integers, their names, their text."""
+    def known(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word as little-endian 32-bit integers, and their names.
+
+        The ids are decoded at once: a word whose bytes do not come back is an error.
+        """
         found = self.words.get(word)
         if found is None:
             data = word.encode("utf-8")
@@ -245,25 +248,27 @@ class Codec:
                 tokens = [*self.encoder.push(data), *self.encoder.end()]
             ids = [self.v.ids[t] for t in tokens]
             # at a word's end the decoder is back in its first state
-            text = "".join([self.decoder.push(i) for i in ids])
-            found = (struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens), text)
+            if "".join([self.decoder.push(i) for i in ids]) != word + " ":
+                raise ValueError(f"{word!r} does not decode to itself")
+            found = (struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens))
             if len(word) <= 64:
                 if len(self.words) >= _WORDS_KEPT:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def _runs(self, text: str) -> Iterator[tuple[bytes, str, str]]:
+    def _runs(self, text: str) -> Iterator[tuple[tuple[bytes, str], str]]:
+        """Ids and names of each word or special token, and itself."""
         for piece in self.pieces(text):
             if piece in self.v.special:
-                yield np.array([self.v.special[piece]], "<u4").tobytes(), piece, piece + " "
+                yield (np.array([self.v.special[piece]], "<u4").tobytes(), piece), piece
                 continue
             known, words = self.known, self.words
             for word in self.v.word.findall(piece):
-                yield words.get(word) or known(word)
+                yield words.get(word) or known(word), word
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(r[0] for r in self._runs(text)), "<u4")
+        return np.frombuffer(b"".join(r[0] for r, _ in self._runs(text)), "<u4")
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Readable text: words in their normal form, a blank after each."""
@@ -275,13 +280,17 @@ class Codec:
         return " ".join([self.v.token[int(i)] for i in ids])
 
     def digests(self, text: str) -> tuple[bytes, str, str, str]:
-        runs = list(self._runs(text))
+        runs, words = [], []
+        for run, word in self._runs(text):
+            runs.append(run)
+            words.append(word)
         ids = b"".join([r[0] for r in runs])
+        plain = " ".join([*words, ""])  # a blank after each
         return (
             ids,
             hashlib.sha256(ids).hexdigest(),
             hashlib.sha256(" ".join([r[1] for r in runs]).encode()).hexdigest(),
-            hashlib.sha256("".join([r[2] for r in runs]).encode()).hexdigest(),
+            hashlib.sha256(plain.encode()).hexdigest(),
         )
 
 
