@@ -14,9 +14,6 @@ from caseledger import rules
 # Python's notion of white space; Spark's trim() takes blanks only.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _VISIBLE = r"(?U)[^\s\x1c-\x1f]"
-_CAPITALISED = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
-_WORD = r"(?U)\b[a-zA-Z]{3,}\b"
-_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -43,7 +40,7 @@ def null_if_spelled(value: Column) -> Column:
 
 
 def drop_control_chars(text: Column) -> Column:
-    return F.regexp_replace(text, _CONTROL, "")
+    return F.regexp_replace(text, rules.CONTROL_CHARACTERS, "")
 
 
 def cut(text: Column, size: int) -> Column:
@@ -74,7 +71,7 @@ def fold_to_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case ASCII words of three or more letters, in order, with repeats."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rules.PLAIN_WORD), F.lit(0))
 
 
 def word_tokens(text: Column) -> Column:
@@ -88,7 +85,7 @@ def keyword_occurrences(text: Column) -> Column:
 
     Finds of two letters (``At``) are left out.
     """
-    phrases = F.regexp_extract_all(text, F.lit(_CAPITALISED), F.lit(0))
+    phrases = F.regexp_extract_all(text, F.lit(rules.CAPITALISED_PHRASE), F.lit(0))
     return F.concat(F.filter(phrases, lambda p: F.length(p) > 2), words(text))
 
 

@@ -62,6 +62,11 @@ def left_join(
     return paired.unionByName(alone, allowMissingColumns=True)
 
 
+def drop_provenance(table: DataFrame) -> DataFrame:
+    """A merged kind without the columns that tell where its rows came from."""
+    return table.drop(*rules.PROVENANCE)
+
+
 def find_key_column(columns: list[str]) -> str | None:
     """First column whose name speaks of a report id."""
     return next((c for c in columns if "report" in c.lower() and "id" in c.lower()), None)
@@ -76,7 +81,7 @@ def join_kinds(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str
     """
     keyed = {}
     for kind, table in tables.items():
-        table = table.drop(*rules.PROVENANCE)
+        table = drop_provenance(table)
         key = find_key_column(table.columns)
         if key:
             keyed[kind] = table.withColumnRenamed(key, rules.REPORT_KEY)

@@ -11,8 +11,8 @@ from caseledger.operators import flatten as ft
 from caseledger.operators import joins as jn
 from caseledger.operators import links as lk
 from caseledger.operators import maintain as mt
-from caseledger.operators.ordering import number_rows
 from caseledger.plans.registry import Tables, query
+from caseledger.storage import stored
 
 
 def _word(n: int):
@@ -225,7 +225,7 @@ def p13_drop_provenance(spark, folder):
     rows = Tables(spark, folder).supplier.select(
         "s_suppkey", "s_name", F.lit("east").alias("source_folder"), F.lit("f").alias("source_file")
     )
-    return rows.drop("source_folder", "source_file")
+    return jn.drop_provenance(rows)
 
 
 def edges(t: Tables) -> DataFrame:
@@ -244,7 +244,8 @@ edges AS (SELECT *, position = min(position) OVER (PARTITION BY incident_id) AS
 
 
 def primary_edges(t: Tables) -> DataFrame:
-    return lk.with_primary(edges(t).withColumn("is_primary", F.lit(False)))
+    """Written once, as every step on links reads its edges more than once."""
+    return stored(lk.with_primary(edges(t).withColumn("is_primary", F.lit(False))), "edges")
 
 
 @query(f"""

@@ -318,7 +318,7 @@ def u03_append_sites(spark, folder):
     second = pages.select(
         F.replace("url", F.lit("http://"), F.lit("https://")).alias("url"), F.lit("b").alias("site")
     )
-    return first.union(second)
+    return concat_kinds([first, second])
 
 
 @query("""

@@ -267,7 +267,8 @@ def w01_keep_first_text(spark, folder):
 @query("SELECT DISTINCT lang, source, sha256(text) AS text_hash FROM documents")
 def w02_drop_duplicates(spark, folder):
     docs = Tables(spark, folder).documents
-    return docs.select("lang", "source", sha256_hex(F.col("text")).alias("text_hash")).dropDuplicates()
+    rows = docs.select("lang", "source", sha256_hex(F.col("text")).alias("text_hash"))
+    return od.keep_first(rows, rows.columns, rows.columns)
 
 
 @query("""

@@ -148,3 +148,8 @@ FILE_KINDS = (
 OTHER_KIND = "other"
 PROVENANCE = ("source_folder", "source_file")
 REPORT_KEY = "Report_ID"
+
+# Patterns of keywords and of characters that texts lose
+CAPITALISED_PHRASE = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+PLAIN_WORD = r"(?U)\b[a-zA-Z]{3,}\b"
+CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
