@@ -88,7 +88,7 @@ def test_copies_of_a_text_never_meet_with_their_text(spark, small_thresholds):
     answers = spark.createDataFrame(
         [], "article_hash string, article_type string, confidence double, payload string"
     )
-    assessed = it.assess(articles, stored, answers)
+    assessed = it.assess(it.sources_from(articles, "pdf"), stored, answers)
     assert "skew=true" in final_plan(assessed)
     assert assessed.count() == 100_000
 
