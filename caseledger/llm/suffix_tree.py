@@ -236,7 +236,8 @@ def _scored(tree: Tree, common: np.ndarray, common_counts: np.ndarray):
                 base = np.bincount(text[known], logs[row[known]], minlength=n) if len(logs) else np.zeros(n)
                 stream, begin = symbols(data, starts)
                 places, owner = _scored_places(begin)
-                score = np.bincount(owner, tree.score(windows(stream)[places]), minlength=n)
+                distinct, which = np.unique(windows(stream)[places], return_inverse=True)
+                score = np.bincount(owner, tree.score(distinct)[which], minlength=n)
                 rare_text, rare = text[~known], words[~known]
                 order = np.lexsort((rare, rare_text))
                 rare_text, rare = rare_text[order], rare[order]
