@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One scan of the training texts finds the places of the test items' word 4-grams and
-keeps the passages around them. How many texts hold a seed is counted over all of them;
-seeds far more frequent than the rest of their item are set aside, except that the
-rarest of every eight in a row always stays, so no part of an item goes without. Passages
-that share a seed with an item are aligned with it word by word, which scores copies with
-words replaced, left out or put in. Words are runs of letters and digits, A-Z lower-cased.
+keeps the passages around them. No seed is set aside for being frequent: of the seeds
+that a passage shares with an item even the rarest may be frequent, as when a text has
+many edited copies. Every passage that shares a seed with an item is aligned with it word
+by word, which scores copies with words replaced, left out or put in; only pairs with too
+few words in common to reach the threshold are left out before. Equal texts are aligned
+once. Words are runs of letters and digits, A-Z lower-cased.
 
 Test items are the query set: their seeds are sent to the tasks in blocks of bounded
 size, one scan of the texts for each block.
@@ -14,12 +15,13 @@ size, one scan of the texts for each block.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import free_name
@@ -27,8 +29,6 @@ from caseledger.llm.words import PUNCTUATION, in_parts, sequence_hash, text_byte
 from caseledger.storage import stored
 
 SEED = 4  # words
-NEIGHBOURS = 8  # seeds in a row of which the rarest stays
-COMMON = 4  # times the item's median frequency beyond which a seed is set aside
 THRESHOLD = 0.5  # of the score of an item aligned with itself
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 SEEDS_AT_ONCE = 2_000_000  # that are sent to the tasks, 8 bytes each
@@ -131,30 +131,45 @@ def _passages(seeds: np.ndarray, margin: int):
     return run
 
 
-_SCORED = "doc_id bigint, doc_key bigint, item_id bigint, score double, last_word bigint"
+_SCORED = "doc_key bigint, item_id bigint, score double, last_word bigint"
+_CONTAMINATED = "doc_id bigint, doc_key bigint, item_id bigint, score double, last_word bigint"
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_common(item: list[str], passage: list[str]) -> int:
+    """Words of the item that the passage has too, repeated ones as often as in both.
+
+    No alignment has more matches, so none scores more than ``MATCH`` for each.
+    """
+    return (Counter(item) & Counter(passage)).total()
+
+
+def _aligned(threshold: float):
     names = [c.split()[0] for c in _SCORED.split(", ")]
-    seen: dict[tuple[str, str], tuple[float, int]] = {}
-    for batch in batches:
-        scores, ends = [], []
-        for passage, item in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            if (item, passage) not in seen:
-                if len(seen) > 2_000:
-                    seen.clear()
-                own = words_of(item)
-                index = {w: i for i, w in enumerate(dict.fromkeys(own))}
-                coded = np.array([index.get(w, -1) for w in words_of(passage)])
-                best, end = align([index[w] for w in own], coded)
-                seen[item, passage] = (best / (MATCH * len(own)), end)
-            score, end = seen[item, passage]
-            scores.append(score)
-            ends.append(end)
-        last = pa.compute.add(batch.column(3), pa.array(ends, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(scores, pa.float64()), last], names=names
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str], tuple[float, int]] = {}
+        for batch in batches:
+            scores, ends = [], []
+            for passage, item in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if (item, passage) not in seen:
+                    if len(seen) > 2_000:
+                        seen.clear()
+                    own, other = words_of(item), words_of(passage)
+                    best, end = 0.0, 0
+                    if MATCH * in_common(own, other) / (MATCH * len(own)) >= threshold:
+                        index = {w: i for i, w in enumerate(dict.fromkeys(own))}
+                        coded = np.array([index.get(w, -1) for w in other])
+                        best, end = align([index[w] for w in own], coded)
+                    seen[item, passage] = (best / (MATCH * len(own)), end)
+                score, end = seen[item, passage]
+                scores.append(score)
+                ends.append(end)
+            last = pa.compute.add(batch.column(2), pa.array(ends, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), last], names=names
+            )
+
+    return run
 
 
 def contaminated(
@@ -192,38 +207,27 @@ def contaminated(
             passages = rows.mapInArrow(_passages(table, margin), _PASSAGE)
             found = passages if found is None else found.unionByName(passages)
     if found is None:
-        return spark.createDataFrame([], _SCORED)
+        return spark.createDataFrame([], _CONTAMINATED)
     found = stored(found.dropDuplicates(["doc_id", "doc_key", "begin"]), "passages")
 
-    frequency = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
-    counted = seeds.join(frequency, "seed")  # seeds that no text has cannot join
-    whole = Window.partitionBy("item_id")
-    near = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, NEIGHBOURS - 1)
-    counted = counted.withColumn("usual", F.percentile_approx("texts", 0.5).over(whole))
-    rarest = counted.select("item_id", F.min(F.struct("texts", "place", "seed")).over(near).alias("r"))
-    rare = rarest.select("item_id", "r.seed").union(
-        counted.filter(F.col("texts") <= COMMON * F.col("usual")).select("item_id", "seed")
-    )
-    rare = rare.distinct()
+    texts = stored(found.drop("doc_id").dropDuplicates(["doc_key", "begin"]), "distinct")
     pairs = (
-        found.select("doc_id", "doc_key", "begin", F.explode("seeds").alias("seed"))
-        .join(rare, "seed")
-        .select("doc_id", "doc_key", "begin", "item_id")
+        texts.select("doc_key", "begin", F.explode("seeds").alias("seed"))
+        .join(seeds.select("item_id", "seed").distinct(), "seed")
+        .select("doc_key", "begin", "item_id")
         .distinct()
     )
-    keys = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "doc_key", "begin")]
     joined = (
-        pairs.alias("p")
-        .join(found.alias("f"), keys)
-        .select("p.doc_id", "p.doc_key", "p.item_id", "p.begin", "f.passage")
+        pairs.join(texts.drop("seeds"), ["doc_key", "begin"])
         .join(items.dropDuplicates(["item_id"]), "item_id")
-        .select("doc_id", "doc_key", "item_id", "begin", "passage", "item")
+        .select("doc_key", "item_id", "begin", "passage", "item")
     )
-    scored = joined.mapInArrow(_aligned, _SCORED).filter(F.col("score") >= threshold)
-    best = F.max(F.struct("score", "last_word")).alias("best")
+    scored = joined.mapInArrow(_aligned(threshold), _SCORED).filter(F.col("score") >= threshold)
+    best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct("score", "last_word")).alias("best"))
     return (
-        scored.groupBy("doc_id", "doc_key", "item_id")
-        .agg(best)
+        found.select("doc_id", "doc_key")
+        .distinct()
+        .join(best, "doc_key")
         .select("doc_id", "doc_key", "item_id", "best.score", "best.last_word")
     )
 

@@ -105,6 +105,17 @@ def test_alignment_equals_the_cell_by_cell_table():
         assert decontamination.align(a, np.array(b, int))[0] == pytest.approx(max(map(max, h)))
 
 
+def test_many_edited_copies_are_found(spark):
+    item = [f"q{k}" for k in range(40)]
+    edited = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(item))
+    rows = [(1, "before " + " ".join(item))] + [(10 + k, f"text {k} {edited} end{k}") for k in range(50)]
+    docs = spark.createDataFrame([*rows, (2, edited[: len(edited) // 8])], "doc_id bigint, text string")
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.score for r in decontamination.contaminated(docs, table).collect()}
+    assert got[1] == 1 and set(got) == {d for d, _ in rows}
+    assert all(got[10 + k] == got[10] and 0.5 <= got[10] < 1 for k in range(50))
+
+
 def test_decontamination_of_odd_rows(odd_docs, no_docs, items, spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contaminated(no_docs, items[1]).count() == 0
