@@ -9,7 +9,8 @@ few words in common to reach the threshold are left out before. Equal texts are
 once. Words are runs of letters and digits, A-Z lower-cased.
 
 Test items are the query set: their seeds are sent to the tasks in blocks of bounded
-size, one scan of the texts for each block.
+size, one scan of the texts for each block. Passages that the scans find near each other
+in one text are joined, so the result does not depend on the number of blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import free_name
@@ -61,7 +62,7 @@ def align(item: list[int], passage: np.ndarray) -> tuple[float, int]:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every n-gram of every item with its place; words of the item."""
+    """Every n-gram of every item; words of the item."""
     for batch in batches:
         at = 0
         for part in in_parts(batch.column(1)):
@@ -74,15 +75,14 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [
                         batch.column(0).take(pa.array(np.full(len(own), at + k))),
                         pa.array(own),
-                        pa.array(np.arange(len(own), dtype=np.int32)),
                         pa.array(np.full(len(own), b - a, np.int32)),
                     ],
-                    names=["item_id", "seed", "place", "words"],
+                    names=["item_key", "seed", "words"],
                 )
             at += len(part)
 
 
-_PASSAGE = "doc_id bigint, doc_key bigint, begin bigint, passage string, seeds array<bigint>"
+_PASSAGE = "doc_id bigint, doc_key bigint, hit bigint, last_hit bigint, begin bigint, passage string, seeds array<bigint>"
 
 
 def _passages(seeds: np.ndarray, margin: int):
@@ -114,15 +114,16 @@ def _passages(seeds: np.ndarray, margin: int):
                         a = max(int(begin[t]), int(hits[g[0]]) - margin)
                         b = min(int(begin[t + 1]), int(hits[g[-1]]) + SEED + margin)
                         passage = data[first[a] : last[b - 1]].tobytes().decode("utf-8")
-                        told.append((at + t, a - int(begin[t]), passage, np.unique(grams[hits[g]]).view(np.int64)))
+                        places = [int(x) - int(begin[t]) for x in (hits[g[0]], hits[g[-1]], a)]
+                        told.append((at + t, *places, passage, np.unique(grams[hits[g]]).view(np.int64)))
                     rows = pa.array([x[0] for x in told])
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(rows),
                             batch.column(1).take(rows),
-                            pa.array([x[1] for x in told], pa.int64()),
-                            pa.array([x[2] for x in told], pa.string()),
-                            pa.array([x[3] for x in told], pa.list_(pa.int64())),
+                            *(pa.array([x[k] for x in told], pa.int64()) for k in (1, 2, 3)),
+                            pa.array([x[4] for x in told], pa.string()),
+                            pa.array([x[5] for x in told], pa.list_(pa.int64())),
                         ],
                         names=names,
                     )
@@ -131,7 +132,48 @@ def _passages(seeds: np.ndarray, margin: int):
     return run
 
 
-_SCORED = "doc_key bigint, item_id bigint, score double, last_word bigint"
+_JOINED = "doc_key bigint, begin bigint, passage string, seeds array<bigint>"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One passage for those of several blocks that overlap; words are told apart by their places."""
+    names = [c.split()[0] for c in _JOINED.split(", ")]
+    for batch in batches:
+        begins, passages, seeds = [], [], []
+        for pieces, lists in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            pieces.sort(key=lambda piece: piece["begin"])
+            words: list[str] = []
+            for piece in pieces:
+                own = words_of(piece["passage"])
+                words += own[pieces[0]["begin"] + len(words) - piece["begin"] :] if words else own
+            begins.append(pieces[0]["begin"])
+            passages.append(" ".join(words))
+            seeds.append(sorted({seed for own in lists for seed in own}))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(begins, pa.int64()),
+                pa.array(passages, pa.string()),
+                pa.array(seeds, pa.list_(pa.int64())),
+            ],
+            names=names,
+        )
+
+
+def _of_all_blocks(found: DataFrame, margin: int) -> DataFrame:
+    """As one scan for all seeds would tell them: passages nearer than the margin are one."""
+    before = Window.partitionBy("doc_key").orderBy("hit", "last_hit", "block")
+    reached = F.max("last_hit").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("hit") - reached > margin, F.lit(False)).cast("int")
+    run = F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    together = found.withColumn("apart", apart).withColumn("run", run).groupBy("doc_key", "run")
+    pieces = together.agg(
+        F.collect_list(F.struct("begin", "passage")).alias("pieces"), F.collect_list("seeds").alias("seeds")
+    )
+    return pieces.select("doc_key", "pieces", "seeds").mapInArrow(_joined, _JOINED)
+
+
+_SCORED = "doc_key bigint, item_key bigint, score double, last_word bigint"
 _CONTAMINATED = "doc_id bigint, doc_key bigint, item_id bigint, score double, last_word bigint"
 
 
@@ -187,13 +229,15 @@ def contaminated(
     ``threshold``; ``last_word`` counts the text's words up to the alignment's end.
     ``doc_key`` is a hash of the text, so that rows without an id can be told apart; rows
     that repeat an id and a text are one. Null and empty texts hold nothing. An item of
-    fewer than four words, or without an id, is no evidence and never matched.
+    fewer than four words, or without an id, is no evidence and never matched. Of several
+    texts with one item id, the one that scores best counts.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("bigint").alias("item_id"), F.col(item_text).alias("item"))
-    items = items.filter("item_id is not null and item is not null")
-    seeds = items.mapInArrow(_seeds, "item_id bigint, seed bigint, place int, words int")
-    seeds = stored(seeds, "seeds")
+    items = items.filter("item_id is not null and item is not null").withColumn("item_key", F.xxhash64("item"))
+    wanted = items.select("item_key", "item").dropDuplicates(["item_key"])
+    seeds = wanted.mapInArrow(_seeds, "item_key bigint, seed bigint, words int")
+    seeds = stored(seeds.distinct(), "seeds")
     rows = docs.select(
         F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.col(text).alias("text")
     )
@@ -204,26 +248,32 @@ def contaminated(
         own = seeds.filter(F.pmod("seed", F.lit(blocks)) == block).select("seed").distinct().toArrow()
         table = np.sort(np.asarray(own.column("seed")).view(np.uint64))
         if len(table):
-            passages = rows.mapInArrow(_passages(table, margin), _PASSAGE)
+            passages = rows.mapInArrow(_passages(table, margin), _PASSAGE).withColumn("block", F.lit(block))
             found = passages if found is None else found.unionByName(passages)
     if found is None:
         return spark.createDataFrame([], _CONTAMINATED)
-    found = stored(found.dropDuplicates(["doc_id", "doc_key", "begin"]), "passages")
+    found = stored(found.dropDuplicates(["doc_id", "doc_key", "block", "begin"]), "passages")
 
-    texts = stored(found.drop("doc_id").dropDuplicates(["doc_key", "begin"]), "distinct")
+    texts = found.drop("doc_id").dropDuplicates(["doc_key", "block", "begin"])
+    texts = _of_all_blocks(texts, margin) if blocks > 1 else texts.select("doc_key", "begin", "passage", "seeds")
+    texts = stored(texts, "distinct")
     pairs = (
         texts.select("doc_key", "begin", F.explode("seeds").alias("seed"))
-        .join(seeds.select("item_id", "seed").distinct(), "seed")
-        .select("doc_key", "begin", "item_id")
+        .join(seeds.select("item_key", "seed"), "seed")
+        .select("doc_key", "begin", "item_key")
         .distinct()
     )
     joined = (
         pairs.join(texts.drop("seeds"), ["doc_key", "begin"])
-        .join(items.dropDuplicates(["item_id"]), "item_id")
-        .select("doc_key", "item_id", "begin", "passage", "item")
+        .join(wanted, "item_key")
+        .select("doc_key", "item_key", "begin", "passage", "item")
     )
     scored = joined.mapInArrow(_aligned(threshold), _SCORED).filter(F.col("score") >= threshold)
-    best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct("score", "last_word")).alias("best"))
+    best = (
+        scored.join(items.select("item_id", "item_key").distinct(), "item_key")
+        .groupBy("doc_key", "item_id")
+        .agg(F.max(F.struct("score", "last_word")).alias("best"))
+    )
     return (
         found.select("doc_id", "doc_key")
         .distinct()

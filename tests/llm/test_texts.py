@@ -116,6 +116,28 @@ def test_many_edited_copies_are_found(spark):
     assert all(got[10 + k] == got[10] and 0.5 <= got[10] < 1 for k in range(50))
 
 
+def test_blocks_of_seeds_change_nothing(spark, corpus, items, monkeypatch):
+    rows, _ = items
+    rng = random.Random(4)
+    rows = [*rows, (0, " ".join(f"r{k}" for k in range(25))), (3, rows[3][1])]  # two texts with one id, two equal rows
+    planted = []
+    for k, (_, text) in enumerate(rows[:9]):
+        w = text.split(" ")
+        for at in range(4, len(w), 5):
+            w[at] = "other"
+        edited = " ".join(w)
+        planted += [(1000 + k, edited), (2000 + k, f"{corpus[k][1]} {edited} a b c {text}"), (3000 + k, f"{edited} {corpus[k][1]} {text}")]
+        planted.append((4000 + k, " ".join([w[rng.randrange(len(w))], *w, *[f"far{j}" for j in range(90)], *w])))
+    planted.append((5000, " ".join(f"r{k}" for k in range(25))))
+    docs = spark.createDataFrame([(r[0], r[1]) for r in corpus] + planted, "doc_id bigint, text string")
+    table = spark.createDataFrame(rows, "item_id bigint, text string")
+    once = sorted(map(tuple, decontamination.contaminated(docs, table).collect()))
+    assert {d for d, *_ in once} >= {1000 + k for k in range(9)} | {5000}
+    assert {i for d, _, i, *_ in once if d in (1000, 5000)} == {0}
+    monkeypatch.setattr(decontamination, "SEEDS_AT_ONCE", 50)
+    assert sorted(map(tuple, decontamination.contaminated(docs, table).collect())) == once
+
+
 def test_decontamination_of_odd_rows(odd_docs, no_docs, items, spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contaminated(no_docs, items[1]).count() == 0
