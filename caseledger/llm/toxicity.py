@@ -3,7 +3,8 @@
 A logistic model over which words, and which beginnings of words, a text has. Beside the log loss, fitting penalises how
 far the logit moves when identity terms of a labelled text are swapped for others of
 their kind, so a group's mere mention, which labels often go with, gains no weight that
-another group's mention has not. An L1 term, scaled to what chance would give a word of
+another group's mention has not. Identity terms count as whole words only: with features
+for their beginnings a swap would change but a part of what a mention adds. An L1 term, scaled to what chance would give a word of
 the same frequency, leaves out words without a provable bearing on the label; the words
 that remain are fitted again without it.
 """
@@ -65,11 +66,23 @@ def _swaps(identity: tuple[tuple[str, ...], ...]) -> dict[int, int]:
     return out
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(texts: pa.Array, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of words and of their beginnings, 0 for those of identity terms."""
+    data, starts = text_bytes(texts)
+    kinds, at = stem_hashes(data, starts, PUNCTUATION, STEMS)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[terms >> np.uint32(16)] = True
+    places = np.flatnonzero(maybe[(kinds[0] >> np.uint64(48)).astype(np.int64)])
+    places = places[np.isin(short(kinds[0][places]), terms)]
+    for stems in kinds[1:]:
+        stems[places] = 0
+    return kinds, at
+
+
+def _words_of(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, label, texts in _aligned(batch):
-            data, starts = text_bytes(texts)
-            kinds, at = stem_hashes(data, starts, PUNCTUATION, STEMS)
+            kinds, at = _features(texts, terms)
             lists = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = distinct(np.concatenate([k[a:b] for k in kinds]))
@@ -91,6 +104,7 @@ class Model:
     words: np.ndarray  # sorted hashes
     weights: np.ndarray
     bias: float
+    terms: np.ndarray  # identity terms, of which no beginnings count
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1; a text without a known word has that of the bias."""
@@ -98,8 +112,7 @@ class Model:
         seen = np.zeros(1 << 16, bool)  # by the first bits of a hash: may it be known?
         seen[self.words >> np.uint32(16)] = True
         for part in in_parts(texts):
-            data, starts = text_bytes(part)
-            kinds, at = stem_hashes(data, starts, PUNCTUATION, STEMS)
+            kinds, at = _features(part, self.terms)
             pairs = []
             for words in kinds:
                 places = np.flatnonzero(seen[(words >> np.uint64(48)).astype(np.int64)])
@@ -171,18 +184,18 @@ def fit_words(
     words = list(once.values())
     y = np.array([label for label, _ in once], float)
     n = len(y)
-    if not n:
-        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     swaps = _swaps(identity)
+    terms = np.array(sorted(swaps), np.uint32)
+    if not n:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, terms)
     flat = np.concatenate([*words, np.zeros(0, np.uint32)]).astype(np.uint32)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in words])
     names, texts = np.unique(flat, return_counts=True)
-    terms = np.array(sorted(swaps), np.uint32)
     vocabulary = np.union1d(names[(texts >= LEAST_TEXTS) & (texts < n)], np.intersect1d(terms, names))
     m = len(vocabulary)
     if not m:
         rate = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-        return Model(vocabulary, np.zeros(0), float(np.log(rate / (1 - rate))))
+        return Model(vocabulary, np.zeros(0), float(np.log(rate / (1 - rate))), terms)
     col = np.minimum(np.searchsorted(vocabulary, flat), m - 1).astype(np.int32)
     kept = vocabulary[col] == flat
     x = _Rows(row[kept], col[kept], np.ones(int(kept.sum()), np.float32), n, m)
@@ -205,7 +218,7 @@ def fit_words(
     first, _ = _descend(x, y, swap, chance, 250, pairing)
     keep = first != 0
     weights, bias = _descend(x.only(keep), y, swap.only(keep), np.zeros(int(keep.sum())), 400, pairing)
-    return Model(vocabulary[keep], weights, bias)
+    return Model(vocabulary[keep], weights, bias, terms)
 
 
 def fit(
@@ -225,7 +238,8 @@ def fit(
     """
     rows = labelled_sample(docs, labels, id, text, label, sample, train)
     rows = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), "_text")
-    found = rows.mapInArrow(_words_of, "key bigint, label int, words array<int>").toArrow().sort_by("key")
+    terms = np.array(sorted(_swaps(identity)), np.uint32)
+    found = rows.mapInArrow(lambda batches: _words_of(batches, terms), "key bigint, label int, words array<int>").toArrow().sort_by("key")
     lists = found.column("words").combine_chunks()
     ends, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint32)
     words = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

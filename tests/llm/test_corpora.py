@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from caseledger.llm import ngram_join, quality, suffix_tree, toxicity, warc
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -53,6 +54,18 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert penalised[0] < without[0] and penalised[3] > 0.5
 
 
+@pytest.mark.parametrize("term,other", [("immigrants", "natives"), ("christian", "jewish")])
+def test_counterfactual_penalty_covers_beginnings_of_words(spark, term, other):
+    rng = random.Random(17)
+    rows = [r[:1] + (re.sub("idiotic|vile", lambda m: m[0] if rng.random() < 0.7 else "w1", r[1]), r[2]) for r in toy(rng, 900, term)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, toxic int")
+    mention = pa.array([f"w1 w2 {term} w3", f"w1 w2 {other} w3", "w1 idiotic w3"])
+    without, penalised = (toxicity.fit(docs, labels, F.lit(True), pairing=p).score(mention) for p in (0.0, 10.0))
+    assert abs(penalised[0] - penalised[1]) < 0.3 * abs(without[0] - without[1])
+    assert penalised[0] < without[0] and penalised[2] > 0.5
+
+
 def test_toxicity_held_out(spark):
     rows = toy(random.Random(12), 1_500, "women")
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string")
