@@ -350,6 +350,26 @@ def test_join_of_odd_rows(odd_docs, no_docs, docs):
     assert kept.columns == odd_docs.columns and kept.filter("doc_id is null").count() == 3
 
 
+def test_join_beside_rows_without_an_id(spark):
+    rng = random.Random(21)
+    base = [" ".join(f"v{rng.randrange(300)}" for _ in range(80)) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, f"{t} tail") for k, t in enumerate(base)]
+    docs = spark.createDataFrame([*((None, t) for t in base), *rows], "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect() if r.doc_id is not None}
+    assert got == groups(rows, 4, 85) and got[100][1] == 0
+
+
+def test_one_row_is_kept_of_each_component(spark):
+    rng = random.Random(22)
+    a, b, c, d = (" ".join(f"v{rng.randrange(300)}" for _ in range(80)) for _ in range(4))
+    rows = [(4, a), (5, f"{a} tail"), (5, b), (6, c), (6, c), (6, f"{c} tail"), (7, c), (2, d), (3, d), (3, b), (None, a), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, place int")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one_of_each(docs).collect())
+    c_kept = [t for k, t in kept if k == 6]
+    assert len(c_kept) == 1 and c_kept[0] in (c, f"{c} tail")
+    assert [r for r in kept if r[0] != 6] == sorted([(0, a), (4, a), (3, b), (2, d), (8, ""), (8, "")])
+
+
 # --- the pipeline
 
 
