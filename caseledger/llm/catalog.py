@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseledger.llm import bpe, decontamination, fingerprints, licences, ngram_join, packing, quality, suffix_tree, toxicity, warc
+from caseledger.llm import (
+    bpe,
+    decontamination,
+    filter_audit,
+    fingerprints,
+    licences,
+    ngram_join,
+    packing,
+    quality,
+    simhash,
+    suffix_tree,
+    toxicity,
+    warc,
+    whitening,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -73,3 +87,21 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.held_out_scores(_table(spark, folder, "documents"))
+
+
+@query
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+@query
+def op13_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+SQL["op13_filter_interaction_audit"] = filter_audit.audit_sql()
