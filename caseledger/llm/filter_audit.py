@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseledger.operators.skew import join_back
+from caseledger.storage import stored
 
 FILTERS = "ABCDE"
 ORDERS = " ".join("".join(p) for p in permutations(FILTERS))
@@ -95,6 +96,7 @@ def cells(docs: DataFrame, labels: DataFrame, id: str, text: str, part: str) ->
         F.coalesce(F.min_by("n", "doc_id"), F.lit(0)).alias("at_least"),
         F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("unnamed"),
     )
+    texts = stored(texts, "counted")  # read twice, the texts once
     first = texts.groupBy("digest").agg(F.min("least").alias("first"))
     texts = join_back(texts, first, "digest")
     fresh = F.col("unnamed") + F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
