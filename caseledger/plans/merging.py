@@ -40,6 +40,10 @@ def _spreadsheets(t: Tables) -> str:
     spreadsheets.write_csv(second, f"{base}/west/incident-data-2.csv")
     spreadsheets.write_csv(places, f"{base}/east/incident-summary-and-locations-1.csv")
     spreadsheets.write_csv(t.nation, f"{base}/west/nations.csv")
+    # one whose header repeats a name, as it is and in capitals
+    notes = t.region.select(F.concat_ws(",", "r_regionkey", F.lit('"a, b"'), "r_name", F.concat(F.lit("x"), "r_regionkey")))
+    head = t.region.limit(1).select(F.lit("Report ID,note,note,NOTE"))
+    head.unionByName(notes.toDF(head.columns[0])).coalesce(1).write.text(f"{base}/east/notes.csv")
     return base
 
 
@@ -62,22 +66,34 @@ SELECT 'incident-data' AS kind, source_folder, source_file, report_id, outcome F
 UNION ALL SELECT 'incident-summary-and-locations', 'east', 'incident-summary-and-locations-1.csv',
   report_id, NULL FROM place_rows
 UNION ALL SELECT 'other', 'west', 'nations.csv', n_nationkey::VARCHAR, NULL FROM nation
+UNION ALL SELECT 'other', 'east', 'notes.csv', r_regionkey::VARCHAR, r_name FROM region
 """)
 def s01_folder_scan(spark, folder):
     found = spreadsheets.scan_kinds(spark, _spreadsheets(Tables(spark, folder)))
+    own = {"other": ("coalesce(`Report ID`, n_nationkey)", "`note.1`"), "incident-data": ("`Report ID`", "Outcome")}
     out = None
     for kind, rows in found.items():
-        if kind == "other":
-            rows = rows.withColumnRenamed("n_nationkey", "Report ID")
-        outcome = F.col("Outcome") if "Outcome" in rows.columns else F.lit(None).cast("string")
+        key, outcome = own.get(kind, ("`Report ID`", "string(null)"))
         part = rows.select(
             F.lit(kind).alias("kind"), "source_folder", "source_file",
-            F.col("`Report ID`").alias("report_id"), outcome.alias("outcome"),
+            F.expr(key).alias("report_id"), F.expr(outcome).alias("outcome"),
         )
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("SELECT 'odd' AS source_folder, 'not UTF-8' AS reason, count(*) AS files FROM nation")
+def s01_skipped_files(spark, folder):
+    """A file for each nation whose header holds a byte that is no UTF-8."""
+    t = Tables(spark, folder)
+    base = _spreadsheets(t)
+    heads = t.nation.select(F.concat(F.lit("caf"), F.unhex(F.lit("E9")).cast("string"), F.lit(","), "n_name"))
+    heads.coalesce(1).write.option("maxRecordsPerFile", 1).text(f"{base}/odd/incident-data-9.csv")
+    skipped = spreadsheets.skipped_files(spark, base)
+    place = F.regexp_extract("path", "([^/]+)/[^/]+/[^/]+$", 1).alias("source_folder")
+    return skipped.groupBy(place, "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("SELECT p_brand, count(*) AS parts FROM part GROUP BY p_brand")
 def s02_column_by_position(spark, folder):
     path = new_folder(spark, "parts")
@@ -169,29 +185,54 @@ def s04_rejected_rows(spark, folder):
 PAGE_SIZE = 100
 
 
-def _order_pages(t: Tables):
+def _order_pages(t: Tables, broken: bool = False):
+    """Orders as page files, read again; if ``broken``, page 8 of ten is not there and 7 is cut off."""
+    path = new_folder(t.spark, "pages")
     page = (F.floor(F.col("o_orderkey") / PAGE_SIZE) + 1).alias("page")
     item = F.struct("o_orderkey", "o_orderstatus")
     pages = t.orders.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    total = t.orders.agg(F.count(F.lit(1))).scalar()
-    return pages.withColumn("total_entries", total)
+    total, last = t.orders.agg(F.count(F.lit(1))).scalar(), t.orders.agg(F.max("o_orderkey")).scalar()
+    pages = pages.withColumn("payload", F.to_json(F.struct("page", total.alias("total_entries"), "items")))
+    if broken:
+        tenth = F.floor(last / PAGE_SIZE / 10)
+        cut = F.expr("substr(payload, 1, length(payload) - 9)")
+        pages = pages.filter(F.col("page") != 8 * tenth)
+        pages = pages.withColumn("payload", F.when(F.col("page") == 7 * tenth, cut).otherwise(F.col("payload")))
+    pages.select("payload").write.text(path)
+    return payloads.read_pages(
+        t.spark, path, "page", "total_entries", "items", "struct<o_orderkey: bigint, o_orderstatus: string>", multi_line=False
+    )
 
 
 @query(f"""
+WITH cut AS (SELECT 7 * (max(o_orderkey) // {PAGE_SIZE} // 10) AS page FROM orders)
 SELECT o_orderkey // {PAGE_SIZE} + 1 AS page, o_orderkey % {PAGE_SIZE} AS position, o_orderkey,
-  o_orderstatus FROM orders
+  o_orderstatus FROM orders WHERE o_orderkey // {PAGE_SIZE} + 1 < (SELECT page FROM cut)
 """)
 def s06_paged_merge(spark, folder):
-    elements, _ = payloads.merge_pages(_order_pages(Tables(spark, folder)), PAGE_SIZE)
+    """Pages up to the first that is not to be had."""
+    pages, _ = _order_pages(Tables(spark, folder), broken=True)
+    elements, _ = payloads.merge_pages(pages, PAGE_SIZE)
     return elements.select("page", F.col("position").cast("bigint").alias("position"), "item.*")
 
 
+@query(f"""
+SELECT 7 * (max(o_orderkey) // {PAGE_SIZE} // 10) AS page, count(*) AS pages FROM orders
+WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)
+""")
+def s06_unreadable_pages(spark, folder):
+    _, rejected = _order_pages(Tables(spark, folder), broken=True)
+    number = F.get_json_object("fields", "$.page").cast("bigint")
+    number = F.coalesce(number, F.regexp_extract("record", '"page":(\\d+)', 1).cast("bigint"))
+    return rejected.groupBy(number.alias("page")).agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query(f"""
 SELECT count(*) AS total_entries, max(o_orderkey // {PAGE_SIZE} + 1) AS pages_fetched,
   {PAGE_SIZE} AS per_page, count(*) AS actual_entries FROM orders
 """)
 def a14_entries_per_envelope(spark, folder):
-    return payloads.merge_pages(_order_pages(Tables(spark, folder)), PAGE_SIZE)[1]
+    return payloads.merge_pages(_order_pages(Tables(spark, folder))[0], PAGE_SIZE)[1]
 
 
 @query("""
@@ -252,7 +293,7 @@ SELECT report_id, subject, country, outcome, source_folder, source_file FROM ran
 def w01_merge_keep_first(spark, folder):
     rows = spreadsheets.scan_kinds(spark, _spreadsheets(Tables(spark, folder)))["incident-data"]
     return ac.merge_kind(rows).toDF(
-        "report_id", "subject", "country", "source_folder", "source_file", "outcome"
+        "report_id", "subject", "country", "outcome", "source_folder", "source_file"
     )
 
 

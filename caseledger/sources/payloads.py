@@ -84,6 +84,21 @@ def read_taxa(
     return pages.select(F.explode("taxon_concepts").alias("t")).select("t.*"), rejected
 
 
+def read_pages(
+    spark: SparkSession, path: str, number: str, total: str, items: str, element: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """``page, total_entries, items`` of page files, and what could not be read.
+
+    A page's number is in its payload (``number`` and the other two name fields), not in
+    the file name or the order of files. A page that cannot be read, or names no number,
+    is missing. A page that is there twice counts once.
+    """
+    schema = f"`{number}` bigint, `{total}` bigint, `{items}` array<{element}>"
+    pages, rejected = read_rows(spark, path, schema, multi_line)
+    pages = pages.toDF("page", "total_entries", "items").filter("page is not null")
+    return pages.withColumn("items", F.coalesce("items", F.array().cast(f"array<{element}>"))).dropDuplicates(["page"]), rejected
+
+
 def merge_pages(
     pages: DataFrame, per_page: int, items: str = "items"
 ) -> tuple[DataFrame, DataFrame]:

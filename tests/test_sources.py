@@ -199,3 +199,20 @@ def test_listing_pages(spark):
     got = sorted(map(tuple, listing_entries(pages).collect()))
     assert got[0] == (1, 0, "Peche", "/a", "N/A", "N/A", "N/A", None)
     assert len(got) == 2 and got[1][0] == 3 and got[1][-1] is not None
+
+
+def test_page_files(spark, tmp_path):
+    """Numbers come from the payload; a cut-off page is missing and is told."""
+    def page(number, items):
+        return json.dumps({"page": number, "total": 9, "items": items}, indent=1)
+
+    for name, text in {
+        "z.json": page(1, ["a", "b"]), "y.json": page(2, ["c", "d"]), "copy.json": page(2, ["c", "d"]),
+        "x.json": page(3, ["e", "f"])[:-12], "w.json": page(4, ["g"]), "v.json": '{"total": 9}',
+    }.items():
+        write(tmp_path / "p" / name, text)
+    pages, rejected = payloads.read_pages(spark, str(tmp_path / "p"), "page", "total", "items", "string")
+    elements, totals = payloads.merge_pages(pages, 2)
+    assert [r["item"] for r in elements.orderBy("page", "position").collect()] == ["a", "b", "c", "d"]
+    assert tuple(totals.select("total_entries", "pages_fetched", "actual_entries").first()) == (9, 2, 4)
+    assert [r["file"].rpartition("/")[2] for r in rejected.collect()] == ["x.json"]
