@@ -93,25 +93,64 @@ def _settle(rows: DataFrame, seq: str) -> DataFrame:
     """``seq, _hash, url`` of every accepted row.
 
     Rows that are first for both keys are certain, rows sharing a key with a certain
-    row are out, and the few left over ask the same question again. The first row left
-    is always certain, so every round ends with fewer; rows that share alternately hash
-    and url along a chain need a round for every two links, as each waits for the one
-    before. Each round's accepted rows are written, not kept as a growing union.
+    row are out, and the few left over ask the same question again, now with those that
+    wait for one earlier row only (``_chained``), so a chain of any length is settled in
+    one round. The first row left is always certain, so every round ends with fewer.
+    Each round's accepted rows are written, not kept as a growing union.
     """
     spark, folder, number = rows.sparkSession, new_folder(rows.sparkSession, "accepted"), 0
     rows, shape = reliable(rows), rows.schema
     while True:
         path = f"{folder}/round={number}"
-        _first_for_both(rows, seq).write.parquet(path)
+        settled = _chained(rows, seq) if number else _first_for_both(rows, seq)
+        settled.write.parquet(path)
         certain = spark.read.schema(shape).parquet(path)
         for key in ("_hash", "url"):
-            taken = certain.filter(F.col(key).isNotNull()).select(key)
+            taken = certain.filter(F.col(key).isNotNull()).select(key).distinct()
             rows = join_back(rows, taken, key, "left_anti")
         rows, number = reliable(rows.select(seq, "_hash", "url")), number + 1
         if rows.isEmpty():
             return spark.read.schema(shape).parquet(*(f"{folder}/round={i}" for i in range(number)))
 
 
+def _chained(rows: DataFrame, seq: str) -> DataFrame:
+    """Rows that are certain, and those whose fate follows from a certain row along a chain.
+
+    A row that is first for one key and second for the other waits for one row, the
+    first of that other key: it is accepted just if that one is not. Chains of such rows
+    are followed by doubling: each row holds a row further up and whether the way there
+    negates, and takes over what that row holds, until the chain's end is reached. A row
+    has at most two others waiting for it, so no key is hot.
+    """
+    placed = rows
+    for key, first, second in (("_hash", "_h1", "_h2"), ("url", "_u1", "_u2")):
+        given = placed.filter(F.col(key).isNotNull())
+        firsts = given.groupBy(key).agg(F.min(seq).alias(first))
+        placed = join_back(placed, firsts, key, "left")
+        later = placed.filter(F.col(seq) > F.col(first)).groupBy(key).agg(F.min(seq).alias(second))
+        placed = join_back(placed, later, key, "left")
+    here = F.col(seq)
+    first_hash, first_url = here == F.col("_h1"), F.col("url").isNull() | (here == F.col("_u1"))
+    waits_for = F.when(first_hash & (here == F.col("_u2")), F.col("_u1")).when(first_url & (here == F.col("_h2")), F.col("_h1"))
+    placed = reliable(
+        placed.select(seq, "_hash", "url", waits_for.alias("_up"), F.coalesce(first_hash & first_url, F.lit(False)).alias("_sure"))
+    )
+    ways = placed.filter("_up is not null").select(seq, "_up", F.lit(True).alias("_not"))
+    while True:
+        further = ways.select(F.col(seq).alias("_up"), F.col("_up").alias("_top"), F.col("_not").alias("_flip"))
+        ways = join_back(ways, further, "_up", "left").select(
+            seq, F.coalesce("_top", "_up").alias("_up"), (F.col("_not") != F.coalesce("_flip", F.lit(False))).alias("_not"),
+            F.col("_top").isNotNull().alias("_moved"),
+        )
+        ways = reliable(ways)
+        if ways.filter("_moved").isEmpty():
+            break
+    sure = placed.filter("_sure").select(F.col(seq).alias("_up"))
+    followed = join_back(ways.filter("not _not"), sure, "_up", "left_semi").select(seq)
+    accepted = followed.unionByName(placed.filter("_sure").select(seq))
+    return join_back(placed.select(seq, "_hash", "url"), accepted, seq, "left_semi")
+
+
 def _first_for_both(rows: DataFrame, seq: str) -> DataFrame:
     by_hash = rows.groupBy("_hash").agg(F.min(seq).alias(seq)).select(seq)
     by_url = rows.filter("url is not null").groupBy("url").agg(F.min(seq).alias(seq))

@@ -41,8 +41,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a stored table that no later step reads."""
-    jvm = table.sparkSession.sparkContext._jvm
-    conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove(table.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

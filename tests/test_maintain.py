@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,25 @@ def test_versions_can_be_written_again(spark, tmp_path):
     for _ in range(2):
         mt.write_version(frame, str(tmp_path), 3)
     assert mt.read_version(spark, str(tmp_path), 3, frame.schema).count() == 1
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 rows that share hash and url in turn: every other row is accepted."""
+    steps = []
+    plain = mt.reliable
+
+    def counted(frame):
+        steps.append(1)
+        return plain(frame)
+
+    monkeypatch.setattr(mt, "reliable", counted)
+    chain = [(k, f"h{k // 2}", f"u{(k + 1) // 2}") for k in range(1_000)]
+    assert accepted(spark, [], chain) == in_order([], chain) == set(range(0, 1_000, 2))
+    assert len(steps) <= 15
+
+
+def test_settling_equals_one_by_one_inserts_on_random_rows(spark):
+    rng = random.Random(12)
+    for keys in (8, 25, 60):
+        batch = [(k, f"h{rng.randrange(keys)}", rng.choice([None, f"u{rng.randrange(keys)}"])) for k in range(120)]
+        assert accepted(spark, [("h1", "u1")], batch) == in_order([("h1", "u1")], batch)
