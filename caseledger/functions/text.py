@@ -80,13 +80,18 @@ def word_tokens(text: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def long_enough(terms: Column) -> Column:
+    """Terms of more than two characters, spaces around them not counted."""
+    return F.filter(terms, lambda t: F.length(F.trim(t)) > 2)
+
+
 def keyword_occurrences(text: Column) -> Column:
     """Capitalised phrases (case kept) and plain words, as often as they occur.
 
     Finds of two letters (``At``) are left out.
     """
     phrases = F.regexp_extract_all(text, F.lit(rules.CAPITALISED_PHRASE), F.lit(0))
-    return F.concat(F.filter(phrases, lambda p: F.length(p) > 2), words(text))
+    return F.concat(long_enough(phrases), words(text))
 
 
 def keyword_candidates(text: Column) -> Column:

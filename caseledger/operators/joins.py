@@ -213,10 +213,11 @@ def duplicate_groups(incidents: DataFrame, vessel: str, key: str = "id") -> Data
     )
 
 
-def _grams(tokens: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(F.size(tokens) >= size, grams).otherwise(F.array().cast("array<string>"))
+_PLACES = 1 << 20  # hash buckets of words and phrases; the most rows that are broadcast
+
+
+def _slot(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(_PLACES)).cast("int")
 
 
 def dictionary_hits(
@@ -224,18 +225,26 @@ def dictionary_hits(
 ) -> DataFrame:
     """(document, term, hits) for a dictionary of any size, by equi-join on phrases.
 
-    A term matches whole words in sequence, case ignored; how many words its phrases may
-    have is read from the dictionary. Phrases are counted per document before they meet
-    it, so a word found everywhere costs one row per document, not one per use. Texts
-    are never shuffled.
+    A term matches whole words in sequence, case ignored. A place in a text is a
+    candidate where some term begins with its word: tables of hash buckets, at most
+    ``_PLACES`` rows whatever the dictionary, tell that and which lengths begin so, and
+    then which of the phrases there may be terms. Only those phrases, counted per document,
+    are shuffled to meet the dictionary; texts and other words never are.
     """
     tokens = word_tokens(F.col(term))
-    wanted = terms.select(F.col(term), F.array_join(tokens, " ").alias("_phrase"), F.size(tokens).alias("_words"))
-    wanted = wanted.filter("_words > 0").distinct()
-    lengths = sorted(r[0] for r in wanted.select("_words").distinct().collect())
-    nothing = F.array().cast("array<string>")
-    grams = F.concat(nothing, *[_grams(F.col("_tokens"), n) for n in lengths])
-    found = documents.select(key, word_tokens(F.col(text)).alias("_tokens"))
-    found = found.select(key, F.explode(grams).alias("_phrase"))
-    counted = found.groupBy(key, "_phrase").agg(F.count(F.lit(1)).alias("hits"))
-    return join_back(counted, wanted, "_phrase").select(key, term, "hits")
+    wanted = terms.select(F.col(term), tokens.alias("_tokens")).filter(F.size("_tokens") > 0).distinct()
+    wanted = wanted.select(
+        term, F.array_join("_tokens", " ").alias("_phrase"), F.size("_tokens").alias("_words"),
+        _slot(F.get("_tokens", F.lit(0))).alias("_first"),
+    )
+    starts = wanted.groupBy("_first").agg(F.collect_set("_words").alias("_lengths"))  # as many as a term has words
+    phrases = wanted.select(_slot(F.col("_phrase")).alias("_slot")).distinct()
+    found = documents.select(key, word_tokens(F.col(text)).alias("_all"))
+    places = found.select(key, "_all", F.posexplode("_all").alias("_at", "_word"))
+    places = places.withColumn("_first", _slot(F.col("_word"))).join(F.broadcast(starts), "_first")
+    lengths = F.filter("_lengths", lambda n: F.col("_at") + n <= F.size("_all"))
+    phrase = F.transform(lengths, lambda n: F.array_join(F.slice("_all", F.col("_at") + 1, n), " "))
+    here = places.select(key, F.explode(phrase).alias("_phrase")).withColumn("_slot", _slot(F.col("_phrase")))
+    here = here.join(F.broadcast(phrases), "_slot", "left_semi")
+    counted = here.groupBy(key, "_phrase").agg(F.count(F.lit(1)).alias("hits"))
+    return join_back(counted, wanted.select("_phrase", term), "_phrase").select(key, term, "hits")

@@ -65,6 +65,11 @@ def top_per_group(
     return table.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def distinct_values(table: DataFrame, column: str) -> DataFrame:
+    """Each value of a column once; null is none."""
+    return table.select(column).dropna(subset=[column]).distinct()
+
+
 def assign_chunks(numbered: DataFrame, size: Column | int, position: str = "position") -> DataFrame:
     """Adds ``chunk``, counted from 0, for fixed-size runs of an ordered list."""
     width = F.lit(size) if isinstance(size, int) else size

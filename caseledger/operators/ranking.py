@@ -38,6 +38,9 @@ def rank_candidates(scored: DataFrame, group: str, key: str, k: int) -> DataFram
     return top_per_group(scored, [group], [F.desc("score"), F.col(key)], k)
 
 
+BLOCK = 64  # candidates of a group that are walked at once
+
+
 def select_diverse(
     scored: DataFrame, group: str, key: str, vector: str,
     k: int = rules.KEYWORDS_PER_DOCUMENT,
@@ -45,33 +48,49 @@ def select_diverse(
 ) -> DataFrame:
     """Walk candidates by falling score, keep those unlike all kept before, up to ``k``.
 
-    Returns ``group, key, score, rank``. Each kept candidate is found by a grouped
-    minimum and the candidates too close to it are dropped, so ``k`` rounds select what
-    a walk would, and no group is ever gathered.
+    Returns ``group, key, score, rank``. The best ``BLOCK`` candidates of each group are
+    cut out before the shuffle and walked by a fold; where that fills the ``k`` places
+    or takes all candidates the group is done. Of the others what comes after the block
+    is cut by what was kept, and goes through another round.
     """
     rows = scored.select(group, key, "score", unit(F.col(vector)).alias("_unit"))
-    remaining = reliable(rows)
-    selected = None
-    for rank in range(1, k + 1):
-        first = F.min_by(
-            F.struct(F.col(key).alias("_key"), "score", F.col("_unit").alias("_chosen")),
-            F.struct(-F.col("score"), F.col(key)),
+    rows = reliable(rows.withColumn("_order", F.struct((-F.col("score")).alias("col1"), F.col(key))))
+    entry = f"array<struct<_order: {rows.schema['_order'].dataType.simpleString()}, _unit: array<double>>>"
+    nothing = F.array().cast(entry)
+    done = None
+
+    def step(kept: Column, candidate: Column) -> Column:
+        unlike = F.forall(kept, lambda other: dot(other["_unit"], candidate["_unit"]) < threshold)
+        return F.when((F.size(kept) < k) & unlike, F.concat(kept, F.array(candidate))).otherwise(kept)
+
+    while True:
+        block = top_per_group(rows, [group], [F.col("_order")], BLOCK, "_nth")
+        blocks = block.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_order", "_unit"))).alias("_block"))
+        before = nothing
+        if done is not None:
+            blocks = blocks.join(done.select(group, "_kept"), group, "left")
+            before = F.coalesce("_kept", nothing)
+        walked = blocks.select(
+            group, F.aggregate("_block", before.cast(entry), step).alias("_kept"),
+            F.element_at("_block", -1)["_order"].alias("_last"),
         )
-        best = reliable(remaining.groupBy(group).agg(first.alias("_b")).select(group, "_b.*"))
-        picked = best.select(
-            group, F.col("_key").alias(key), "score", F.lit(rank).alias("rank")
+        if done is not None:
+            walked = walked.unionByName(done.join(walked.select(group), group, "left_anti"))
+        done = reliable(walked)
+        open_groups = done.filter(F.size("_kept") < k)
+        rest = join_back(rows, open_groups, group).filter(
+            (F.col("_order") > F.col("_last"))
+            & F.forall("_kept", lambda other: dot(other["_unit"], F.col("_unit")) < threshold)
         )
-        selected = picked if selected is None else selected.unionByName(picked)
-        if rank == k:
+        rest = rest.select(rows.columns)
+        if rest.isEmpty():
             break
-        unlike = dot(F.col("_unit"), F.col("_chosen")) < threshold
-        remaining = join_back(remaining, best.drop("score"), group).filter(
-            unlike & (F.col(key) != F.col("_key"))
-        )
-        remaining = reliable(remaining.select(group, key, "score", "_unit"))
-        if remaining.isEmpty():
-            break
-    return selected
+        rows = reliable(rest)
+    chosen = done.select(group, F.posexplode("_kept").alias("_at", "_entry"))
+    return chosen.select(
+        group, F.col(f"_entry._order.{key}").alias(key), (-F.col("_entry._order.col1")).alias("score"),
+        (F.col("_at") + 1).alias("rank"),
+    )
 
 
 def cluster_documents(

@@ -12,6 +12,7 @@ from caseledger.operators import ordering as od
 from caseledger.operators.accounting import concat_kinds
 from caseledger.operators.flatten import fill_missing
 from caseledger.operators.joins import exclude_known
+from caseledger.operators.search import search
 from caseledger.plans import records
 from caseledger.plans.registry import Tables, query
 
@@ -164,7 +165,7 @@ SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: length(trim(w)
 FROM documents
 """)
 def f08_drop_short(spark, folder):
-    kept = F.filter(F.split("text", " "), lambda w: F.length(F.trim(w)) > 2)
+    kept = tx.long_enough(F.split("text", " "))
     return Tables(spark, folder).documents.select("doc_id", F.size(kept).cast("bigint").alias("long_words"))
 
 
@@ -189,7 +190,7 @@ WHERE o_orderpriority <> '4-NOT SPECIFIED'
 def f10_drop_null_keys(spark, folder):
     missing = F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED"))
     rows = Tables(spark, folder).orders.select(missing.alias("priority"))
-    return rows.dropna(subset=["priority"]).distinct()
+    return od.distinct_values(rows, "priority")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 777")
@@ -235,6 +236,24 @@ def f13_boolean_search(spark, folder):
     )
 
 
+@query(r"""
+WITH words AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'),
+  lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+tokens AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text),
+  '[^\p{L}\p{N}_]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents)
+SELECT doc_id, item_id FROM tokens, words WHERE len(w) >= 9 AND
+  (contains(t, ' ' || w[1] || ' ' || w[2] || ' ') OR contains(t, ' ' || w[3] || ' ' || w[4] || ' ')
+    OR (contains(t, ' ' || w[5] || ' ') AND (contains(t, ' ' || w[6] || ' ') OR contains(t, ' ' || w[7] || ' ' || w[8] || ' '))))
+""")
+def f13_query_table(spark, folder):
+    """A search query for each benchmark item, made of its first words, against all documents."""
+    t = Tables(spark, folder)
+    words = t.benchmark.select("item_id", tx.word_tokens(F.col("text")).alias("w")).filter(F.size("w") >= 9)
+    w = [F.get("w", F.lit(k)) for k in range(8)]
+    query = F.format_string('("%s %s" OR "%s %s") OR (%s AND (%s OR "%s %s"))', *w)
+    return search(t.documents, words.select("item_id", query.alias("query")), "doc_id", "text", "item_id", "query")
+
+
 @query(f"""
 WITH {records.INCIDENTS_SQL}
 SELECT count(*) AS total, 25 AS "limit", 50 AS skip, count(*) > 75 AS has_more FROM incident_rows

@@ -186,3 +186,12 @@ def test_centroids_are_means(spark):
     assert rk.centroids(frame, "g", "v").first()["centroid"] == [2.0, 4.0]
     labels = spark.createDataFrame([(1, 7)], "g int, cluster int")
     assert rk.with_cluster(frame, labels, "g").filter(F.col("cluster") == 7).count() == 2
+
+
+def test_selecting_in_small_blocks_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [(d, i, rng.normal(size=3).tolist(), float(np.round(rng.random(), 1))) for d in range(3) for i in range(50)]
+    frame = spark.createDataFrame(data, VECTORS)
+    whole = chosen(frame, k=7)
+    monkeypatch.setattr(rk, "BLOCK", 4)
+    assert chosen(frame, k=7) == whole
