@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS_KEPT = 250_000  # entries of a task's table of words; it is cleared when full
+_WORDS_KEPT = 100_000  # entries of a task's table of words; it is cleared when full
 _PIECE = 1 << 16  # characters that are normalised and cut into words at once
 _SHORT = 48  # symbols up to which scanning all pairs beats a heap
 
@@ -234,10 +234,11 @@ class Codec:
             text = text.replace("\u03a3", "\u03c3")
         return text.lower()
 
-    def known(self, word: str) -> tuple[bytes, str]:
-        """Ids of a word as little-endian 32-bit integers, and their names.
+    def known(self, word: str) -> tuple[bytes, str, str]:
+        """Ids of a word as little-endian 32-bit integers, and what decoding these gives:
+        their names, and the readable text.
 
-        The ids are decoded at once: a word whose bytes do not come back is an error.
+        A word whose bytes do not come back is an error.
         """
         found = self.words.get(word)
         if found is None:
@@ -248,27 +249,28 @@ class Codec:
                 tokens = [*self.encoder.push(data), *self.encoder.end()]
             ids = [self.v.ids[t] for t in tokens]
             # at a word's end the decoder is back in its first state
-            if "".join([self.decoder.push(i) for i in ids]) != word + " ":
+            text = "".join([self.decoder.push(i) for i in ids])
+            if text != word + " ":
                 raise ValueError(f"{word!r} does not decode to itself")
-            found = (struct.pack(f"<{len(ids)}I", *ids), " ".join(tokens))
+            found = (struct.pack(f"<{len(ids)}I", *ids), self.names(ids), text)
             if len(word) <= 64:
                 if len(self.words) >= _WORDS_KEPT:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def _runs(self, text: str) -> Iterator[tuple[tuple[bytes, str], str]]:
-        """Ids and names of each word or special token, and itself."""
+    def _runs(self, text: str) -> Iterator[list[tuple[bytes, str, str]]]:
+        """For each piece of the text its words' (or special token's) ids and what they decode to."""
+        get, known = self.words.get, self.known
         for piece in self.pieces(text):
             if piece in self.v.special:
-                yield (np.array([self.v.special[piece]], "<u4").tobytes(), piece), piece
-                continue
-            known, words = self.known, self.words
-            for word in self.v.word.findall(piece):
-                yield words.get(word) or known(word), word
+                token = self.v.special[piece]
+                yield [(np.array([token], "<u4").tobytes(), self.names([token]), self.decoder.push(token))]
+            else:
+                yield [get(word) or known(word) for word in self.v.word.findall(piece)]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(r[0] for r, _ in self._runs(text)), "<u4")
+        return np.frombuffer(b"".join([r[0] for runs in self._runs(text) for r in runs]), "<u4")
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Readable text: words in their normal form, a blank after each."""
@@ -279,19 +281,21 @@ class Codec:
         """Tokens joined by blanks: what a vocabulary file without a decoder decodes to."""
         return " ".join([self.v.token[int(i)] for i in ids])
 
-    def digests(self, text: str) -> tuple[bytes, str, str, str]:
-        runs, words = [], []
-        for run, word in self._runs(text):
-            runs.append(run)
-            words.append(word)
-        ids = b"".join([r[0] for r in runs])
-        plain = " ".join([*words, ""])  # a blank after each
-        return (
-            ids,
-            hashlib.sha256(ids).hexdigest(),
-            hashlib.sha256(" ".join([r[1] for r in runs]).encode()).hexdigest(),
-            hashlib.sha256(plain.encode()).hexdigest(),
-        )
+    def digests(self, text: str, with_ids: bool) -> tuple[bytes, int, str, str, str]:
+        """The ids if asked for, their number, and three digests that grow piece by piece."""
+        ids, names, plain = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        kept, n, blank = [], 0, ""
+        for runs in self._runs(text):
+            if runs:
+                data = b"".join([r[0] for r in runs])
+                ids.update(data)
+                n += len(data) // 4
+                names.update((blank + " ".join([r[1] for r in runs])).encode())
+                plain.update("".join([r[2] for r in runs]).encode())
+                blank = " "
+                if with_ids:
+                    kept.append(data)
+        return b"".join(kept), n, ids.hexdigest(), names.hexdigest(), plain.hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
@@ -368,12 +372,12 @@ def round_trip(
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                found = [own.digests(t or "") for t in part.column(1).to_pylist()]
+                found = [own.digests(t or "", with_ids) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(f[0]) // 4 for f in found], pa.int64()),
-                        *(pa.array([f[i] for f in found], pa.string()) for i in (1, 2, 3)),
+                        pa.array([f[1] for f in found], pa.int64()),
+                        *(pa.array([f[i] for f in found], pa.string()) for i in (2, 3, 4)),
                         *([pa.array([f[0] for f in found], pa.binary())] if with_ids else []),
                     ],
                     names=names,
