@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def fold(id: Column, of: int) -> Column:
@@ -27,16 +26,18 @@ def free_name(table: DataFrame, wish: str) -> str:
 def append_score(
     docs: DataFrame, text: str, name: str, score: Callable[[pa.Array], np.ndarray]
 ) -> DataFrame:
-    """All columns of ``docs`` and a double that ``score`` gives for each text."""
-    place = docs.columns.index(text)
+    """All columns of ``docs`` and a double that ``score`` gives for each text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array(score(batch.column(place)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+    Only the texts go to Python and only the scores come back.
+    """
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array(score(column), pa.float64())
+            pa.default_memory_pool().release_unused()
 
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(name, scored(F.col(text)))
 
 
 def labelled_sample(

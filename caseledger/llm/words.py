@@ -21,7 +21,7 @@ PUNCTUATION[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BLOCK = 1 << 20  # bytes that are hashed at once
+_BLOCK = 1 << 18  # bytes that are hashed at once
 _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that swapped letters keep 61 bits apart
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
