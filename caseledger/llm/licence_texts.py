@@ -167,6 +167,39 @@ PHRASES = (
     "This software is licensed under the",
 )
 
+# What stands before a short name besides a phrase.
+MARKS = ("SPDX-License-Identifier", "License", "Licensed under terms of", "Licensed under the terms of")
+
+# Short names, as in identifiers of licences.
+SHORT_NAMES = (
+    ("Apache-2.0", "Apache-2.0"),
+    ("Apache-2.0", "Apache 2.0"),
+    ("MIT", "MIT"),
+    ("BSD-2-Clause", "BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD-3-Clause"),
+    ("ISC", "ISC"),
+    ("GPL-2.0", "GPL-2.0"),
+    ("GPL-2.0", "GPL-2.0-only"),
+    ("GPL-2.0", "GPL-2.0-or-later"),
+    ("GPL-2.0", "GPLv2"),
+    ("GPL-3.0", "GPL-3.0"),
+    ("GPL-3.0", "GPL-3.0-only"),
+    ("GPL-3.0", "GPL-3.0-or-later"),
+    ("GPL-3.0", "GPLv3"),
+    ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3.0"),
+    ("AGPL-3.0", "AGPL-3.0"),
+    ("MPL-2.0", "MPL-2.0"),
+    ("Unlicense", "Unlicense"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+)
+
 # Spellings that count as one: as found anywhere in a word, and what it becomes.
 SPELLINGS = (
     ("licence", "license"),

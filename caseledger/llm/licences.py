@@ -3,24 +3,29 @@
 Canonical form: A-Z lower-cased, copyright lines left out, every run of other ASCII
 signs one blank, equivalent spellings made one. The whole text's digest is looked up
 among licence texts; a text's lines, as wholes, among one-line notices. Only built-in
-functions are used. The known texts are a fixed list, which bounds what is broadcast.
+functions are used. Known texts and notices are tables: the fixed lists by default, or
+larger ones that are given. A copyright line has its mark, then a year (or a place for
+one) or a second mark; words of a licence that a line break puts first are none.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseledger.llm.licence_texts import NAMES, PHRASES, SPELLINGS, TEXTS
+from caseledger.llm.licence_texts import MARKS, NAMES, PHRASES, SHORT_NAMES, SPELLINGS, TEXTS
 from caseledger.operators.skew import join_back
 from caseledger.storage import stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_YEAR = r"(?:\d{4}|<year>|\[year\]|\[yyyy\]|\{yyyy\}|yyyy)"
+_COPYRIGHT = (  # signs of a comment may come before it
+    rf"(?m)^[^a-z0-9\n©(]*(?:(?:copyright[ \t:,]*(?:\(c\)|©|{_YEAR})|(?:\(c\)|©)[ \t]*(?:copyright|{_YEAR}))[^\n]*"
+    r"|all rights reserved\.?[^a-z0-9\n]*)$"
+)
 _SIGNS = r"[^a-z0-9\n\x{80}-\x{10ffff}]+"
-_LONGEST_NOTICE = 200  # characters in canonical form; every notice in the list is shorter
 
 
 def canonical_lines(text: Column) -> Column:
@@ -34,32 +39,46 @@ def as_one(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_texts(spark: SparkSession) -> DataFrame:
-    rows = [(name, text) for name, _, text in TEXTS]
-    rows += [(name, f"{title}\n\n{text}") for name, title, text in TEXTS if title]
-    table = spark.createDataFrame(rows, "license string, text string")
-    return table.select("license", F.sha2(as_one(canonical_lines(F.col("text"))), 256).alias("digest"))
+def text_list() -> list[tuple[str, str]]:
+    """The known whole texts, with and without their titles."""
+    return [(name, text) for name, _, text in TEXTS] + [(name, f"{title}\n\n{text}") for name, title, text in TEXTS if title]
 
 
-def known_notices(spark: SparkSession) -> DataFrame:
-    rows = [(name, f"{phrase} {called}") for phrase in PHRASES for name, called in NAMES]
-    table = spark.createDataFrame(rows, "license string, text string")
-    return table.select("license", F.sha2(as_one(canonical_lines(F.col("text"))), 256).alias("digest"))
+def notice_list() -> list[tuple[str, str]]:
+    """Every phrase with every name, with and without the article, and short forms after their marks."""
+    starts = [s for phrase in PHRASES for s in (phrase, phrase.removesuffix(" the"))]
+    long = [(name, f"{start} {called}") for start in starts for name, called in NAMES]
+    short = [(name, f"{start} {called}") for start in (*starts, *MARKS) for name, called in SHORT_NAMES]
+    return sorted({*long, *short, *((name, f"{text} License") for name, text in short)})
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _digests(table: DataFrame) -> DataFrame:
+    """``license, digest, size`` in canonical form; of licences with one text the first by name."""
+    lines = as_one(canonical_lines(F.col("text")))
+    made = table.select("license", lines.alias("lines")).filter("lines <> ''")
+    made = made.select("license", F.sha2("lines", 256).alias("digest"), F.length("lines").alias("size"))
+    return made.groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
+
+
+def scan(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", texts: DataFrame | None = None, notices: DataFrame | None = None
+) -> DataFrame:
     """``doc_id, text_digest, license, n_notices, notices`` for every row.
 
     ``license`` is the licence that the whole text is, null for none. ``n_notices``
     counts the lines that are notices; ``notices`` lists their licences, each once, in
     order, with commas. Null and empty texts have the digest of the empty text and no
-    licence. Ids are handed through, null and repeated ones too.
+    licence. Ids are handed through, null and repeated ones too. ``texts`` and ``notices``
+    are tables ``license, text`` of what is known, by default the fixed lists.
     """
     spark = docs.sparkSession
+    known = _digests(spark.createDataFrame(text_list(), "license string, text string") if texts is None else texts)
+    lines_known = _digests(spark.createDataFrame(notice_list(), "license string, text string") if notices is None else notices)
+    longest = lines_known.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
     rows = docs.select(F.col(id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
     lines = F.filter(
         F.transform(F.split("lines", "\n"), lambda line: F.trim(line)),
-        lambda line: (F.length(line) > 0) & (F.length(line) <= _LONGEST_NOTICE),
+        lambda line: (F.length(line) > 0) & (F.length(line) <= longest),
     )
     digests = stored(
         rows.select(
@@ -70,19 +89,19 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         ),
         "digests",
     )
-    texts, notices = F.broadcast(known_texts(spark)), F.broadcast(known_notices(spark))
     # texts of equal lines have equal notices, so copies are looked up once
     once = digests.groupBy("lines_digest").agg(F.first("of_lines").alias("of_lines"))
     found = (
         once.select("lines_digest", F.explode("of_lines").alias("digest"))
-        .join(notices, "digest")
+        .join(lines_known, "digest")
         .groupBy("lines_digest")
         .agg(
             F.count(F.lit(1)).alias("n_notices"),
             F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"),
         )
     )
-    named = digests.drop("of_lines").join(texts, F.col("text_digest") == F.col("digest"), "left")
+    whole = known.select(F.col("digest").alias("text_digest"), "license")
+    named = join_back(digests.drop("of_lines"), whole, "text_digest", "left")
     return join_back(named, found, "lines_digest", "left").select(
         "doc_id",
         "text_digest",
@@ -107,14 +126,12 @@ def _sql_lines(text: str) -> str:
 
 def scan_sql() -> str:
     """The same scan of ``documents`` in DuckDB's SQL."""
-    rows = [(name, text) for name, _, text in TEXTS]
-    rows += [(name, f"{title}\n\n{text}") for name, title, text in TEXTS if title]
-    notices = [(name, f"{phrase} {called}") for phrase in PHRASES for name, called in NAMES]
+    rows, notices = text_list(), notice_list()
     values = lambda pairs: ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in pairs)
     one = lambda lines: f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
     return f"""
-    WITH texts AS (SELECT license, sha256({one(_sql_lines('t'))}) AS digest FROM (VALUES {values(rows)}) v(license, t)),
-    notices AS (SELECT license, sha256({one(_sql_lines('t'))}) AS digest FROM (VALUES {values(notices)}) v(license, t)),
+    WITH texts AS (SELECT min(license) AS license, sha256({one(_sql_lines('t'))}) AS digest FROM (VALUES {values(rows)}) v(license, t) GROUP BY 2),
+    notices AS (SELECT min(license) AS license, sha256({one(_sql_lines('t'))}) AS digest FROM (VALUES {values(notices)}) v(license, t) GROUP BY 2),
     docs AS (SELECT row_number() OVER () AS r, doc_id, {_sql_lines('text')} AS lines FROM documents),
     line AS (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM docs),
     found AS (
