@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One scan of the training texts finds the places of the test items' word 4-grams and
-keeps the passages around them. No seed is set aside for being frequent: of the seeds
+One scan of the training texts finds the places of the test items' seeds, which are four
+words in a row or with one left out, and keeps the passages around them. No seed is set aside for being frequent: of the seeds
 that a passage shares with an item even the rarest may be frequent, as when a text has
 many edited copies. Every passage that shares a seed with an item is aligned with it word
 by word, which scores copies with words replaced, left out or put in; only pairs with too
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import free_name
-from caseledger.llm.words import PUNCTUATION, in_parts, sequence_hash, text_bytes, word_hashes, word_spans
+from caseledger.llm.words import PUNCTUATION, in_parts, pattern_hash, text_bytes, word_hashes, word_spans
 from caseledger.storage import stored
 
-SEED = 4  # words
+# Places of a seed's words: runs of four, and four of five, so that a word replaced in
+# every third or fourth place still leaves whole seeds.
+SHAPES = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
 THRESHOLD = 0.5  # of the score of an item aligned with itself
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 SEEDS_AT_ONCE = 2_000_000  # that are sent to the tasks, 8 bytes each
@@ -62,15 +64,16 @@ def align(item: list[int], passage: np.ndarray) -> tuple[float, int]:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every n-gram of every item; words of the item."""
+    """Every seed of every item; words of the item."""
     for batch in batches:
         at = 0
         for part in in_parts(batch.column(1)):
             data, starts = text_bytes(part)
             words, begin = word_hashes(data, starts, PUNCTUATION)
-            grams = sequence_hash(words, SEED)
+            grams = [pattern_hash(words, shape) for shape in SHAPES]
             for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                own = grams[a : max(a, b - SEED + 1)].view(np.int64)
+                own = [g[a : max(a, b - shape[-1])] for g, shape in zip(grams, SHAPES, strict=True)]
+                own = np.unique(np.concatenate(own)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(np.full(len(own), at + k))),
@@ -85,6 +88,20 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PASSAGE = "doc_id bigint, doc_key bigint, hit bigint, last_hit bigint, begin bigint, passage string, seeds array<bigint>"
 
 
+def _hits(words: np.ndarray, seeds: np.ndarray, first_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, seed and number of words of every seed found, by place."""
+    found = []
+    for shape in SHAPES:
+        grams = pattern_hash(words, shape)
+        maybe = np.flatnonzero(first_bits[(grams >> np.uint64(42)).astype(np.int64)])
+        row = np.minimum(np.searchsorted(seeds, grams[maybe]), len(seeds) - 1)
+        at = maybe[seeds[row] == grams[maybe]]
+        found.append((at, grams[at], np.full(len(at), shape[-1] + 1)))
+    hits, own, span = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(hits, kind="stable")
+    return hits[order], own[order], span[order]
+
+
 def _passages(seeds: np.ndarray, margin: int):
     """Passages of the texts around seeds; passages nearer than a margin are one."""
     names = [c.split()[0] for c in _PASSAGE.split(", ")]
@@ -97,13 +114,10 @@ def _passages(seeds: np.ndarray, margin: int):
             for part in in_parts(batch.column(2)):
                 data, starts = text_bytes(part)
                 words, begin = word_hashes(data, starts, PUNCTUATION)
-                grams = sequence_hash(words, SEED)
-                maybe = np.flatnonzero(first_bits[(grams >> np.uint64(42)).astype(np.int64)])
-                row = np.minimum(np.searchsorted(seeds, grams[maybe]), len(seeds) - 1)
-                hits = maybe[seeds[row] == grams[maybe]]
+                hits, own, span = _hits(words, seeds, first_bits)
                 text = np.searchsorted(begin, hits, "right") - 1
-                inside = hits + SEED <= begin[text + 1]  # not across two texts
-                hits, text = hits[inside], text[inside]
+                inside = hits + span <= begin[text + 1]  # not across two texts
+                hits, own, span, text = hits[inside], own[inside], span[inside], text[inside]
                 if len(hits):
                     first, last = word_spans(data, starts, PUNCTUATION)
                     cut = (np.diff(hits) > margin) | (np.diff(text) > 0)
@@ -112,10 +126,10 @@ def _passages(seeds: np.ndarray, margin: int):
                     for g in groups:
                         t = int(text[g[0]])
                         a = max(int(begin[t]), int(hits[g[0]]) - margin)
-                        b = min(int(begin[t + 1]), int(hits[g[-1]]) + SEED + margin)
+                        b = min(int(begin[t + 1]), int((hits[g] + span[g]).max()) + margin)
                         passage = data[first[a] : last[b - 1]].tobytes().decode("utf-8")
                         places = [int(x) - int(begin[t]) for x in (hits[g[0]], hits[g[-1]], a)]
-                        told.append((at + t, *places, passage, np.unique(grams[hits[g]]).view(np.int64)))
+                        told.append((at + t, *places, passage, np.unique(own[g]).view(np.int64)))
                     rows = pa.array([x[0] for x in told])
                     yield pa.RecordBatch.from_arrays(
                         [

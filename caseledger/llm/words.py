@@ -142,11 +142,16 @@ def stem_hashes(
 
 def sequence_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` words, one for every place where a run may start."""
-    if len(words) < n:
+    return pattern_hash(words, tuple(range(n)))
+
+
+def pattern_hash(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at some places after each place where such a pattern may start."""
+    m = len(words) - places[-1]
+    if m <= 0:
         return np.zeros(0, np.uint64)
-    m = len(words) - n + 1
-    total = np.full(m, n, np.uint64)
-    for i in range(n):
+    total = np.full(m, len(places), np.uint64)
+    for i in places:
         total += words[i : i + m] * _PLACE[i % 64]
     return mix(total)
 
