@@ -51,7 +51,7 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 @query
 def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(_table(spark, folder, "documents"))
+    return packing.packed_files(_table(spark, folder, "documents"))
 
 
 @query

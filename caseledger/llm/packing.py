@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseledger.llm.warc import SharedFile, opened
+from caseledger.storage import new_folder, stored
 
 ROW = 2_048  # tokens of a row
 BLOCK = 4_000_000  # tokens that are packed together
@@ -195,31 +196,79 @@ def positions(cu_seqlens: np.ndarray) -> np.ndarray:
     return np.arange(int(cu_seqlens[-1])) - np.repeat(cu_seqlens[:-1], size)
 
 
-def write_matrices(rows: DataFrame, folder: str) -> DataFrame:
-    """Write packed rows as raw files; tells each pair of files with its rows and tokens.
+_FILES = ("ids", "cu", "resets", "docs")
+_WRITTEN = "part int, " + ", ".join(f"{f} string" for f in _FILES) + ", rows bigint, tokens bigint, item_bytes int"
 
-    ``ids-<part>.bin`` is the matrix, row after row; ``cu-<part>.bin`` holds, as
-    little-endian 32-bit integers, for every row the number of its cumulative lengths and
-    those lengths. A task that runs twice leaves the same files.
+
+def write_matrices(rows: DataFrame, folder: str, row: int = ROW) -> DataFrame:
+    """Write packed rows as raw files; tells each task's files with their rows and tokens.
+
+    ``ids-<part>.bin`` is the matrix, row after row of ids. The others hold for each row
+    the number of entries and the entries, little-endian: ``cu`` the cumulative lengths
+    and ``resets`` the resets, 32 bits each; ``docs`` for every segment whether it has an
+    id, the id and the offset, 64 bits each. A task that runs twice leaves the same files.
     """
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, lengths, n, tokens = TaskContext.get().partitionId(), None, None, 0, 0
+        part, files, n, tokens, wide = TaskContext.get().partitionId(), [], 0, 0, 0
         for batch in batches:
-            for used, raw, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ids is None:
-                    ids, lengths = (SharedFile(folder, f"{w}-{part:06d}.bin") for w in ("ids", "cu"))
-                ids.put(raw)
-                lengths.put(np.array([len(ends), *ends], "<i4").tobytes())
+            for used, raw, ends, resets, docs, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not files:
+                    files, wide = [SharedFile(folder, f"{w}-{part:06d}.bin") for w in _FILES], len(raw) // row
+                segments = np.array([(d is not None, d or 0, o) for d, o in zip(docs, offsets, strict=True)], "<i8")
+                files[0].put(raw)
+                files[1].put(np.array([len(ends), *ends], "<i4").tobytes())
+                files[2].put(np.array([len(resets), *resets], "<i4").tobytes())
+                files[3].put(np.array([len(docs)], "<i8").tobytes() + segments.tobytes())
                 n, tokens = n + 1, tokens + used
-        if ids is not None:
-            ids.close()
-            lengths.close()
+        for file in files:
+            file.close()
+        if files:
+            found = (part, *(f.name for f in files), n, tokens, wide)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (ids.name, lengths.name, n, tokens)], names=["ids", "cu", "rows", "tokens"]
+                [pa.array([x], t) for x, t in zip(found, [pa.int32(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.int32()], strict=True)],
+                names=[c.split()[0] for c in _WRITTEN.split(", ")],
             )
 
-    some = rows.select("n_tokens", "ids", "cu_seqlens")
-    return some.mapInArrow(run, "ids string, cu string, rows bigint, tokens bigint")
+    some = rows.select("n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "offsets")
+    return some.mapInArrow(run, _WRITTEN)
+
+
+def read_matrices(written: DataFrame, folder: str, row: int = ROW) -> DataFrame:
+    """The packed rows that files hold, from what ``write_matrices`` told; one task a part."""
+    many = pa.list_(pa.int32())
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), many, many, pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(folder)
+        for batch in batches:
+            for told in batch.to_pylist():
+                files = {w: system.open_input_stream(f"{path}/{told[w]}") for w in _FILES}
+
+                def entries(file: str, kind: str, each: int = 1) -> np.ndarray:
+                    size = np.dtype(kind).itemsize
+                    n = int(np.frombuffer(files[file].read(size), kind)[0])  # noqa: B023
+                    return np.frombuffer(files[file].read(size * n * each), kind)  # noqa: B023
+
+                for first in range(0, told["rows"], 256):
+                    out = []
+                    for k in range(first, min(first + 256, told["rows"])):
+                        ids = files["ids"].read(row * told["item_bytes"])
+                        ends, resets, segments = entries("cu", "<i4"), entries("resets", "<i4"), entries("docs", "<i8", 3).reshape(-1, 3)
+                        docs = [int(d) if there else None for there, d, _ in segments]
+                        out.append((told["part"], k, int(ends[-1]), ids, ends.tolist(), resets.tolist(), docs, segments[:, 2].tolist()))
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
+                for file in files.values():
+                    file.close()
+
+    parts = max(1, written.count())
+    return written.repartitionByRange(parts, "part").mapInArrow(run, _PACKED)
+
+
+def packed_files(docs: DataFrame, id: str = "doc_id", text: str = "text", row: int = ROW) -> DataFrame:
+    """Pack all documents into files of the shared folder; the rows read back from them."""
+    folder = new_folder(docs.sparkSession, "packed")
+    return read_matrices(stored(write_matrices(packed(docs, id, text, row), folder, row), "matrices"), folder, row)
