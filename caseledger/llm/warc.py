@@ -34,6 +34,8 @@ from caseledger.storage import new_folder, stored
 
 LEAST_REVISIT = 100  # bytes from which an equal payload is not stored again
 LINES = 1_000  # captures in a block
+IN_RANGE = 50_000  # captures in a range of the index, about
+IN_TASK = 10_000  # captures that a task looks up, about
 FILE_BYTES = 1 << 30  # an archive is closed beyond this
 DATE = "1970-01-01T00:00:00Z"  # the tables carry no capture time
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -210,6 +212,7 @@ class Archive:
 
     folder: str
     ranges: tuple[tuple[str, str], ...]
+    captures: int
 
 
 class Reader:
@@ -326,10 +329,11 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     )
     dealt = dealt.sortWithinPartitions("page_id", "url", "digest")
     captures = stored(dealt.mapInArrow(_archive(folder), _CAPTURE), "captures")
-    ordered = captures.repartitionByRange("key", "file", "at").sortWithinPartitions("key", "file", "at")
-    # one row per range, so as many as there are shuffle partitions
+    held = captures.count()
+    # so many ranges that keys of any length make several; a given number is not merged again
+    ordered = captures.repartitionByRange(-(-held // IN_RANGE) or 1, "key", "file", "at").sortWithinPartitions("key", "file", "at")
     ranges = ordered.mapInArrow(_blocks(folder), "key string, name string").collect()
-    return Archive(folder, tuple(sorted((r.key, r.name) for r in ranges)))
+    return Archive(folder, tuple(sorted((r.key, r.name) for r in ranges)), held)
 
 
 _FOUND = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string"
@@ -355,7 +359,8 @@ def lookup(keys: DataFrame, archive: Archive, key: str = "key") -> DataFrame:
             )
 
     asked = keys.select(F.col(key).alias("key")).filter("key is not null").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
+    tasks = -(-archive.captures // IN_TASK) or 1
+    return asked.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
 
 
 def keyed(pages: DataFrame, id: str = "page_id", url: str = "url") -> DataFrame:
