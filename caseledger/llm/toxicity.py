@@ -31,7 +31,8 @@ PAIRING = 1.0  # weight of the counterfactual penalty
 RIDGE = 3e-4
 STEMS = (7, 8)  # bytes of a word's beginning that count like words
 
-# Identity terms by kind; a swap puts the next of its kind in a term's place.
+# Identity terms by kind, of English, German, French and Spanish (the default of a
+# parameter); a swap puts the next of its kind in a term's place.
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -42,9 +43,23 @@ IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"),
+    ("asians", "latinos", "africans", "europeans"),
+    ("immigrant", "native", "refugee"),
     ("immigrants", "natives", "refugees"),
     ("old", "young"),
     ("disabled", "blind", "deaf"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden"),
+    ("einwanderer", "einheimische", "flüchtlinge"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs"),
+    ("immigrés", "réfugiés"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos"),
+    ("inmigrantes", "refugiados"),
 )
 
 
