@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,40 @@ def test_whole_texts_and_spellings(spark):
     assert got[5].text_digest == got[6].text_digest == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_digests_do_not_depend_on_wrapping(spark, prefix):
+    """Every known text, with its title and a copyright line, wrapped at every width."""
+    rows, want = [], {}
+    for k, (name, title, text) in enumerate(TEXTS):
+        for width in range(50, 121, 1 if prefix == "" else 10):
+            paragraphs = [p for p in [title, "Copyright (c) 2020, Some One", *text.split("\n\n")] if p]
+            lines = [line for p in paragraphs for line in [*textwrap.wrap(" ".join(p.split()), width, break_on_hyphens=False), ""]]
+            want[1000 * k + width] = name
+            rows.append((1000 * k + width, "\n".join(prefix + line for line in lines)))
+    got = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {d: n for d, n in got.items() if n != want[d]} == {}
+
+
+def test_short_notices(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under Apache-2.0.": "Apache-2.0",
+        "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "Released under the MIT licence": "MIT", "License: BSD-3-Clause": "BSD-3-Clause", "Licensed under nothing": "",
+        "Copyright 2020 Licensed under CC BY 4.0.": "", "This work is licensed under the CC BY-SA 4.0 License.": "CC-BY-SA-4.0",
+    }
+    frame = spark.createDataFrame([(k, f"text\n{line}\nmore") for k, line in enumerate(lines)], "doc_id bigint, text string")
+    got = {r.doc_id: r.notices for r in licences.scan(frame).collect()}
+    assert [got[k] for k in range(len(lines))] == list(lines.values())
+
+
+def test_known_texts_and_notices_as_tables(spark):
+    texts = spark.createDataFrame([("Own-1", "You may do\nas you like."), ("Own-0", "you MAY do as you like"), ("Blank", " ")], "license string, text string")
+    notices = spark.createDataFrame([("Own-1", "Own terms " + "apply " * 60)], "license string, text string")
+    rows = [(1, "Copyright 2020 Me\n\nYou may do as\nyou like!"), (2, "own terms" + " apply" * 60 + "\nx"), (3, ""), (4, TEXTS[0][2])]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), texts=texts, notices=notices)
+    assert {r.doc_id: (r.license, r.notices) for r in got.collect()} == {1: ("Own-0", ""), 2: (None, "Own-1"), 3: (None, ""), 4: (None, "")}
+
+
 def test_licences_of_odd_rows(odd_docs, no_docs):
     assert licences.scan(odd_docs).count() == odd_docs.count()
     assert licences.scan(no_docs).count() == 0
@@ -116,6 +151,35 @@ def test_many_edited_copies_are_found(spark):
     assert all(got[10 + k] == got[10] and 0.5 <= got[10] < 1 for k in range(50))
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.4])
+def test_edited_copies_that_align_are_found(spark, share):
+    """Words replaced at random: of the copies whose alignment passes, nine in ten at least are found."""
+    rng = random.Random(int(100 * share))
+    items = [(k, [f"i{k}x{j}" for j in range(rng.randint(25, 50))]) for k in range(6)]
+    docs, passes = [], set()
+    for doc in range(150):
+        k, words = items[doc % 6]
+        edited = ["other" if rng.random() < share else w for w in words]
+        docs.append((doc, "before it " + " ".join(edited) + " after it"))
+        index = {w: i for i, w in enumerate(words)}
+        score, _ = decontamination.align(list(range(len(words))), np.array([index.get(w, -1) for w in edited]))
+        if score >= decontamination.THRESHOLD * len(words):
+            passes.add((doc, k))
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), table)
+    got = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert got <= passes and len(got) >= 0.9 * len(passes)
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_every_so_manieth_word_replaced(spark, every):
+    item = [f"q{k}" for k in range(42)]
+    edited = " ".join("other" if k % every == every - 1 else w for k, w in enumerate(item))
+    docs = spark.createDataFrame([(1, f"text {edited} end")], "doc_id bigint, text string")
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert [r.item_id for r in decontamination.contaminated(docs, table).collect()] == [7]
+
+
 def test_blocks_of_seeds_change_nothing(spark, corpus, items, monkeypatch):
     rows, _ = items
     rng = random.Random(4)
@@ -180,10 +244,13 @@ def test_packing_loses_nothing(docs, corpus, spark, tmp_path):
     for doc, text, *_ in corpus:
         whole = np.concatenate([x for _, x in sorted(found[doc], key=lambda p: p[0])])
         assert tokens.decode(whole) == (text or "")
-    files = packing.write_matrices(rows, str(tmp_path / "m")).collect()
+    written = packing.write_matrices(rows, str(tmp_path / "m"), 64).cache()
+    files = written.collect()
     assert sum(f.rows for f in files) == rows.count()
     for f in files:
         assert (tmp_path / "m" / f.ids).stat().st_size == f.rows * 64 * tokens.kind.itemsize
+    back = packing.read_matrices(written, str(tmp_path / "m"), 64)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
 
 
 def test_pieces_encode_like_the_whole(monkeypatch):
@@ -194,6 +261,15 @@ def test_pieces_encode_like_the_whole(monkeypatch):
     assert tokens.encode(text).tolist() == whole.tolist()
 
 
+def test_files_hold_rows_without_an_id(odd_docs, no_docs):
+    def rows(df):
+        return sorted((r.part, r.row, r.n_tokens, bytes(r.ids), r.cu_seqlens, r.resets, r.doc_ids, r.offsets) for r in df.collect())
+
+    whole, back = rows(packing.packed(odd_docs)), rows(packing.packed_files(odd_docs))
+    assert back == whole and any(None in r[6] for r in back)
+    assert packing.packed_files(no_docs).count() == 0
+
+
 def test_packing_of_odd_rows(odd_docs, no_docs):
     got = packing.packed(odd_docs).collect()
     assert sum(o == 0 for r in got for o in r.offsets) == odd_docs.count()
