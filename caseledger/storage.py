@@ -1,7 +1,8 @@
 """Where intermediate tables live, and how lineage is cut.
 
 Both use the folder named by ``spark.checkpoint.dir``, which must be visible to every
-executor. Without that setting they use a folder inside the session's warehouse.
+executor. Without that setting they use a folder inside the session's warehouse; on a
+cluster that must then be a shared one.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The named folder; where none is named, one inside the warehouse, shared as well."""
+    """The named folder; where none is named, one inside the warehouse, unless that is a
+    machine's own folder and the session a cluster's."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        if not sc.master.startswith("local") and named.startswith(("file:", "/")):
+            raise ValueError(f"set spark.checkpoint.dir: {named} is on the driver's machine only")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
