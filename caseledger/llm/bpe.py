@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS_KEPT = 100_000  # entries of a task's table of words; it is cleared when full
+WORDS_KEPT = 250_000  # entries of a worker's table of words; it is cleared when full
 _PIECE = 1 << 16  # characters that are normalised and cut into words at once
 _SHORT = 48  # symbols up to which scanning all pairs beats a heap
 
@@ -202,8 +202,8 @@ class Decoder:
 class Codec:
     """Encodes and decodes whole texts, piece by piece."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, kept: int = WORDS_KEPT) -> None:
+        self.v, self.kept = vocabulary, kept
         self.words: dict[str, tuple[bytes, str]] = {}
         self.encoder, self.decoder = Encoder(vocabulary), Decoder(vocabulary)
         names = sorted(vocabulary.special, key=len, reverse=True)
@@ -254,7 +254,7 @@ class Codec:
                 raise ValueError(f"{word!r} does not decode to itself")
             found = (struct.pack(f"<{len(ids)}I", *ids), self.names(ids), text)
             if len(word) <= 64:
-                if len(self.words) >= _WORDS_KEPT:
+                if len(self.words) >= self.kept:
                     self.words.clear()
                 self.words[word] = found
         return found
@@ -301,12 +301,12 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(data: str) -> Codec:
+def codec(data: str, kept: int = WORDS_KEPT) -> Codec:
     """The codec of a vocabulary file's content; each worker builds it once."""
-    key = hashlib.sha256(data.encode()).hexdigest()
+    key = f"{hashlib.sha256(data.encode()).hexdigest()} {kept}"
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(Vocabulary(data))
+        _codecs[key] = Codec(Vocabulary(data), kept)
     return _codecs[key]
 
 
@@ -356,19 +356,21 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", path: str |
 
 
 def round_trip(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False
+    docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False,
+    kept: int = WORDS_KEPT,
 ) -> DataFrame:
     """Digests of every row's ids, of the tokens' names joined by blanks (which is what
     the vocabulary file, having no decoder, decodes to) and of the readable text.
 
     One pass without a shuffle. Null texts are empty: no tokens, the digest of nothing.
     Ids are handed through, null and repeated ones too. ``with_ids`` adds the token ids
-    as little-endian unsigned 32-bit integers.
+    as little-endian unsigned 32-bit integers. ``kept`` bounds each worker's table of words:
+    a smaller one takes less memory and more time, the result is the same.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shipped.value)
+        own = codec(shipped.value, kept)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
