@@ -34,7 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, with_ids=True)
+    # workers have run the other stages by then, so the table of words is a small one
+    return bpe.round_trip(docs, with_ids=True, kept=100_000)
 
 
 STAGES = [
