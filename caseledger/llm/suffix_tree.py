@@ -1,37 +1,39 @@
 """LM scoring: a probabilistic suffix tree over the bytes of texts.
 
 A text is read as its words, lower-cased (A-Z), each followed by a blank, and an end
-sign. A node of the tree is a context of up to five symbols. A context is counted over
-all training texts and kept when it is frequent (a set share of all symbols) and its
-next-symbol distribution diverges from that of the context one symbol shorter; what is
-kept is closed under suffixes. Distributions are smoothed towards the shorter context's
+sign. A node of the tree is a context of up to ``DEPTH`` symbols. A context is counted
+over all training texts and kept when it occurs ``LEAST`` times and its next symbols
+differ from what the context one symbol shorter tells, by a likelihood-ratio test of a
+fixed level; what is kept is closed under suffixes. Both bounds are absolute, so the tree
+grows with the corpus. Distributions are smoothed towards the shorter context's
 (Witten-Bell), down to a uniform one. A symbol is scored in the state of the longest kept
 suffix of what precedes it.
 
-The minimum share bounds the tree: no depth has more than its inverse in nodes, whatever
-the corpus, so the tree is broadcast. Word counts for the base score have no such bound:
-words of a minimum share are broadcast, the others' counts are joined.
+The nodes are a table, one row per (context, next symbol) that any text holds, and a
+depth is joined with the one before. Of its last depth, the windows that make up a least
+share of all symbols are broadcast with their probability, which bounds their number by
+the share's inverse; texts' other windows are joined with the table. Words of the base
+score are treated alike.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import fold
 from caseledger.llm.words import in_parts, text_bytes, word_hashes, word_spans
-from caseledger.operators.skew import join_back
-from caseledger.storage import stored
+from caseledger.storage import discard, stored
 
 DEPTH = 5
-LEAST_SHARE = 5e-7  # of all training symbols, for a context
-DIVERGENCE = 1e-7  # bits that a context saves per training symbol
+LEAST = 4  # occurrences of a context
+NORMAL = 3.09  # the standard normal's quantile at the test's level, 0.001
+COMMON_WINDOWS = 2e-7  # of all symbols, for a window whose probability is broadcast
 COMMON_SHARE = 2e-6  # of all training tokens, for a word whose count is broadcast
 _END, _BLANK, _PAD = 1, 32, 0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -90,80 +92,70 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0) and of windows (kind 1), summed over blocks of the task."""
-    held: list[list[np.ndarray]] = [[], []]
-    counts: list[list[np.ndarray]] = [[], []]
+    """Counts of words (kind 0) and of windows (kind 1), summed over blocks of the task.
+
+    ``n`` counts in training texts, ``every`` in all; words are counted in the first only.
+    """
+    held: list[list[tuple]] = [[], []]
     room = 0
     for batch in batches:
+        learned = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
+        done = 0
         for data, starts in text_blocks(batch.column(0)):
-            words, _ = word_hashes(data, starts)
-            ends = np.full(len(starts) - 1, END_WORD, np.uint64)
+            size = len(starts) - 1
+            own = learned[done : done + size]
+            done += size
+            words, at = word_hashes(data, starts)
             stream, begin = symbols(data, starts)
-            places, _ = _scored_places(begin)
-            for kind, values in enumerate((np.concatenate([words, ends]), windows(stream)[places])):
-                names, seen = np.unique(values, return_counts=True)
-                held[kind].append(names)
-                counts[kind].append(seen)
+            places, owner = _scored_places(begin)
+            found = windows(stream)[places]
+            if own.any():
+                words = words[np.repeat(own, np.diff(at))]
+                names, seen = np.unique(
+                    np.concatenate([words, np.full(int(own.sum()), END_WORD, np.uint64)]), return_counts=True
+                )
+                held[0].append((names, seen, seen))
+                room += len(names)
+            for told, chosen in ((1, own[owner]), (0, ~own[owner])):
+                names, seen = np.unique(found[chosen], return_counts=True)
+                held[1].append((names, seen * told, seen))
                 room += len(names)
             if room > 4_000_000:
-                yield from _told(held, counts)
-                held, counts, room = [[], []], [[], []], 0
-    yield from _told(held, counts)
+                held = [[_added(h)] if h else [] for h in held]
+                room = sum(len(h[0][0]) for h in held if h)
+                if room > 2_000_000:
+                    yield from _told(held)
+                    held, room = [[], []], 0
+    yield from _told(held)
 
 
-def _told(held: list[list[np.ndarray]], counts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _told(held: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
     for kind in (0, 1):
         if not held[kind]:
             continue
-        names, seen = _added(np.concatenate(held[kind]), np.concatenate(counts[kind]))
+        names, n, every = _added(held[kind])
         for k in range(0, len(names), 1 << 18):
             part = slice(k, k + (1 << 18))
-            size = len(names[part])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(size, kind, np.int32)),
+                    pa.array(np.full(len(names[part]), kind, np.int32)),
                     pa.array(names[part].view(np.int64)),
-                    pa.array(seen[part].astype(np.int64)),
+                    pa.array(n[part].astype(np.int64)),
+                    pa.array(every[part].astype(np.int64)),
                 ],
-                names=["kind", "name", "n"],
+                names=["kind", "name", "n", "every"],
             )
 
 
-def _added(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _added(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct names with the sums of their counts."""
+    names, *counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(names):
+        return names, *counts
     order = np.argsort(names, kind="stable")
-    names, counts = names[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
-    return names[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-@dataclass(frozen=True)
-class Tree:
-    """Per depth: sorted (context, next) numbers with log10 probability, sorted contexts
-    with the log10 weight that an unseen next symbol's shorter context gets."""
-
-    pairs: list[np.ndarray]
-    chance: list[np.ndarray]
-    contexts: list[np.ndarray]
-    rest: list[np.ndarray]
-    uniform: float
-
-    def score(self, keys: np.ndarray, below: int = DEPTH + 1) -> np.ndarray:
-        """log10 probability of the last symbol of every window, by contexts under a depth.
-
-        A kept context's suffixes are kept, so the walk from the root ends in the longest.
-        """
-        out = np.full(len(keys), self.uniform)
-        live = np.arange(len(keys))  # windows whose context of this depth is kept
-        for d in range(below):
-            own = keys[live] & np.uint64((1 << (8 * (d + 1))) - 1)
-            context = own >> np.uint64(8)
-            row, known = _find(self.contexts[d], context)
-            live, own, row = live[known], own[known], row[known]
-            if not len(live):
-                break
-            at, seen = _find(self.pairs[d], own)
-            out[live] = np.where(seen, self.chance[d][at] if len(self.chance[d]) else 0.0, out[live] + self.rest[d][row])
-        return out
+    names = names[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    return names[first], *(np.add.reduceat(c[order], first) for c in counts)
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,55 +165,68 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, table[row] == values
 
 
-def build(names: np.ndarray, counts: np.ndarray, share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of counted (context, next) numbers of the greatest depth.
+def _tail(symbols: int) -> Column:
+    """The last symbols of a pair."""
+    return F.col("pair").bitwiseAND((1 << (8 * symbols)) - 1)
+
+
+def significant(kinds: Column) -> Column:
+    """The chi-square quantile for so many next symbols, as bits of log likelihood."""
+    part = F.lit(2.0) / (9.0 * F.greatest(kinds, F.lit(1)))
+    return kinds * F.pow(1.0 - part + NORMAL * F.sqrt(part), F.lit(3.0)) / (2 * math.log(2))
+
 
-    ``names`` may lack windows whose context is rare, as long as every depth's totals are
-    handed in: entries are tagged with their depth in the top byte.
+def states(whole: DataFrame, least: int = LEAST) -> DataFrame:
+    """``pair, every, p``: for every window, the probability of its last symbol.
+
+    ``whole`` has ``name, n, every``: windows with their occurrences in training and in
+    all texts. A context has at most 256 next symbols, so its rows fit in a task.
     """
-    pairs, chance, contexts, rest = [], [], [], []
-    depth_of = (names >> np.uint64(56)).astype(int)
-    uniform = math.log10(1 / 256)
-    total = float(counts[depth_of == 0].sum())
-    kept_before: np.ndarray | None = None
+    pairs = None
     for d in range(DEPTH + 1):
-        own, n = names[depth_of == d] & np.uint64((1 << 56) - 1), counts[depth_of == d].astype(float)
-        order = np.argsort(own)
-        own, n = own[order], n[order]
-        context = own >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(own) else np.zeros(0, int)
-        if not len(first):
-            pairs.append(own), chance.append(n), contexts.append(own), rest.append(n)
-            kept_before = own
-            continue
-        size = np.diff(np.append(first, len(own)))
-        seen, kinds = np.add.reduceat(n, first), size.astype(float)
-        row = np.repeat(np.arange(len(first)), size)
-        # what the shorter context says of the same next symbol
-        if d == 0:
-            shorter = np.full(len(own), 1 / 256)
-            keep = np.ones(len(first), bool)
+        own = whole.select(F.lit(d).alias("depth"), F.col("name").alias("pair"), "n", "every")
+        own = own.withColumn("pair", _tail(d + 1))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    pairs = stored(
+        pairs.groupBy("depth", "pair").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "pairs"
+    )
+    context = Window.partitionBy("context").orderBy("pair")
+    context = context.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = None
+    for d in range(DEPTH + 1):
+        own = pairs.filter(F.col("depth") == d).select(
+            "pair", "n", "every", F.shiftright("pair", 8).alias("context"), _tail(d).alias("suffix")
+        )
+        if level is None:
+            own = own.withColumns({"shorter": F.lit(1 / 256), "before": F.lit(True)})
         else:
-            low = Tree(pairs, chance, contexts, rest, uniform)
-            shorter = 10 ** low.score(own, d)
-            heads = context[first]
-            suffix = heads & np.uint64((1 << (8 * (d - 1))) - 1) if d > 1 else np.zeros(len(heads), np.uint64)
-            keep = (seen >= share * total) & _find(kept_before, suffix)[1]
-        p = (n + kinds[row] * shorter) / (seen + kinds)[row]
-        if d:
-            gain = np.add.reduceat(n * np.log2(p / shorter), first)
-            keep &= gain >= divergence * total
-        k = keep[row]
-        pairs.append(own[k])
-        chance.append(np.log10(p[k]))
-        contexts.append(context[first][keep])
-        rest.append(np.log10(kinds[keep] / (seen + kinds)[keep]))
-        kept_before = contexts[-1]
-    return Tree(pairs, chance, contexts, rest, uniform)
-
-
-def _scored(tree: Tree, common: np.ndarray, common_counts: np.ndarray):
-    """Per text: tokens, what is known without a join, and the other words with their number."""
+            before = level.select(F.col("pair").alias("suffix"), F.col("p").alias("shorter"), F.col("kept").alias("before"))
+            own = own.join(before, "suffix")
+        own = own.withColumns(
+            {"held": F.sum("n").over(context), "kinds": F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(context)}
+        )
+        held, kinds = F.col("held"), F.col("kinds")
+        own = own.withColumn(
+            "own", (F.col("n") + kinds * F.col("shorter")) / F.greatest(held + kinds, F.lit(1))
+        )
+        if level is None:
+            kept = held > 0
+        else:
+            bits = F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("own") / F.col("shorter"))).otherwise(0.0)
+            own = own.withColumn("gain", F.sum(bits).over(context))
+            kept = F.col("before") & (held >= least) & (F.col("gain") >= significant(kinds))
+        own = own.withColumn("kept", kept)
+        level = own.select(
+            "pair", "every", "kept", F.when(F.col("kept"), F.col("own")).otherwise(F.col("shorter")).alias("p")
+        )
+    found = stored(level.select("pair", "every", "p"), "states")
+    discard(pairs)
+    return found
+
+
+def _scored(common: np.ndarray, common_counts: np.ndarray, likely: np.ndarray, chance: np.ndarray):
+    """Per text: tokens, what is known without a join, and what is not: the kind (word 0,
+    window 1), name and number of the others."""
     logs = np.log10(common_counts + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +242,24 @@ def _scored(tree: Tree, common: np.ndarray, common_counts: np.ndarray):
                 stream, begin = symbols(data, starts)
                 places, owner = _scored_places(begin)
                 distinct, which = np.unique(windows(stream)[places], return_inverse=True)
-                score = np.bincount(owner, tree.score(distinct)[which], minlength=n)
-                rare_text, rare = text[~known], words[~known]
-                order = np.lexsort((rare, rare_text))
-                rare_text, rare = rare_text[order], rare[order]
+                row, sure = _find(likely, distinct)
+                value = np.where(sure, chance[row], 0.0) if len(chance) else np.zeros(len(distinct))
+                score = np.bincount(owner, value[which], minlength=n)
+                open_ = ~sure[which]
+                owners = np.concatenate([text[~known], owner[open_]])
+                rare = np.concatenate([words[~known], distinct[which[open_]]])
+                kind = np.ones(len(rare), np.int8)
+                kind[: len(rare) - int(open_.sum())] = 0
+                order = np.lexsort((rare, kind, owners))
+                owners, rare, kind = owners[order], rare[order], kind[order]
                 new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_text[1:] != rare_text[:-1])
+                new[1:] = (rare[1:] != rare[:-1]) | (kind[1:] != kind[:-1]) | (owners[1:] != owners[:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(rare)))
-                ends = pa.array(np.searchsorted(rare_text[first], np.arange(n + 1)).astype(np.int32))
+                ends = pa.array(np.searchsorted(owners[first], np.arange(n + 1)).astype(np.int32))
                 lists = [
                     pa.ListArray.from_arrays(ends, pa.array(v))
-                    for v in (rare[first].view(np.int64), times.astype(np.int32))
+                    for v in (kind[first], rare[first].view(np.int64), times.astype(np.int32))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -259,35 +270,23 @@ def _scored(tree: Tree, common: np.ndarray, common_counts: np.ndarray):
                         pa.array(score, pa.float64()),
                         *lists,
                     ],
-                    names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    names=["doc_id", "n_tokens", "n_known", "base", "score", "kind", "rare", "times"],
                 )
                 done += n
 
     return run
 
 
-def _depths(counted: DataFrame, least: float) -> DataFrame:
-    """(depth, context and next) counts of every depth, contexts of enough symbols only."""
-    whole = counted.filter("kind = 1").select("name", "n")
-    per_depth = [
-        whole.select(
-            F.lit(d).alias("depth"), F.col("name").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("pair"), "n"
-        )
-        for d in range(DEPTH + 1)
-    ]
-    pairs = per_depth[0]
-    for more in per_depth[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = pairs.groupBy("depth", "pair").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs, "pairs")
-    context = F.shiftright("pair", 8).alias("context")
-    frequent = pairs.groupBy("depth", context).agg(F.sum("n").alias("held")).filter(F.col("held") >= least)
-    kept = join_back(pairs.withColumn("context", F.shiftright("pair", 8)), frequent, ["depth", "context"])
-    return kept.select("depth", "pair", "n")
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A small table of (name, value), by unsigned name."""
+    found = table.toArrow()
+    names = np.asarray(found.column(0)).astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.asarray(found.column(1))[order]
 
 
 def language_scores(
-    docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", share: float = LEAST_SHARE
+    docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", least: int = LEAST
 ) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -299,42 +298,55 @@ def language_scores(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    learned = docs.filter(train).filter(F.col(id).isNotNull()).select(F.col(text).alias("text"))
-    parts = learned.mapInArrow(_count, "kind int, name bigint, n bigint")
-    counted = stored(parts.groupBy("kind", "name").agg(F.sum("n").alias("n")), "counts")
+    learned = docs.select(
+        F.col(text).alias("text"), (F.col(id).isNotNull() & F.coalesce(train, F.lit(False))).alias("learned")
+    )
+    parts = learned.mapInArrow(_count, "kind int, name bigint, n bigint, every bigint")
+    sums = F.sum("n").alias("n"), F.sum("every").alias("every")
+    counted = stored(parts.groupBy("kind", "name").agg(*sums), "counts")
     words = counted.filter("kind = 0").select("name", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    seen = counted.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = counted.filter("kind = 1").agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    chances = states(counted.filter("kind = 1"), least)
 
     # both are bounded by the inverse of a share, whatever the corpus
-    found = _depths(counted, max(1.0, share * seen)).toArrow()
-    depth, pair, n = (np.asarray(found.column(c)) for c in ("depth", "pair", "n"))
-    names = pair.astype(np.uint64) | (depth.astype(np.uint64) << np.uint64(56))
-    tree = spark.sparkContext.broadcast(build(names, n, share))
-    most = words.filter(F.col("n") >= max(1.0, COMMON_SHARE * tokens)).toArrow().sort_by("name")
-    common = np.asarray(most.column("name")).astype(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    table = spark.sparkContext.broadcast((common[order], np.asarray(most.column("n"))[order]))
+    frequent, likely = F.col("n") >= COMMON_SHARE * tokens, F.col("every") >= COMMON_WINDOWS * seen
+    value = F.log10("p").alias("value")
+    common = _sorted(words.filter(frequent))
+    table = spark.sparkContext.broadcast((*common, *_sorted(chances.filter(likely).select("pair", value))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scored(tree.value, *table.value)(batches)
+        yield from _scored(*table.value)(batches)
 
-    kind = docs.schema[id].dataType.simpleString()
-    shape = f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<int>"
+    id_type = docs.schema[id].dataType.simpleString()
+    shape = (
+        f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, score double, "
+        "kind array<tinyint>, rare array<bigint>, times array<int>"
+    )
     scored = rows.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id())
     scored = stored(scored, "scored")
-    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-    asked = asked.select("row", F.col("w.rare").alias("name"), F.col("w.times").alias("times"))
-    uncommon = words.filter(F.col("n") < max(1.0, COMMON_SHARE * tokens))
-    joined = asked.join(uncommon, "name")
+    asked = scored.select("row", F.explode(F.arrays_zip("kind", "rare", "times")).alias("w"))
+    asked = asked.select("row", "w.kind", F.col("w.rare").alias("name"), "w.times")
+    zero = F.lit(0)
+    others = (
+        words.filter(~frequent)
+        .select(zero.cast("tinyint").alias("kind"), "name", F.log10(F.col("n") + 1.0).alias("value"))
+        .unionByName(
+            chances.filter(~likely).select(F.lit(1).cast("tinyint").alias("kind"), F.col("pair").alias("name"), value)
+        )
+    )
+    joined = asked.join(others, ["kind", "name"])
+    word, gained = F.col("kind") == 0, F.col("times") * F.col("value")
     more = joined.groupBy("row").agg(
-        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base")
+        F.sum(F.when(word, F.col("times"))).alias("more_known"),
+        F.sum(F.when(word, gained)).alias("more_base"),
+        F.sum(F.when(~word, gained)).alias("more_score"),
     )
     end = words.filter(F.col("name") == END_WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     floor = math.log10(tokens + distinct + 1)
-    zero = F.lit(0)
+    nothing = F.lit(0.0)
     return (
-        scored.drop("rare", "times")
+        scored.drop("kind", "rare", "times")
         .join(more, "row", "left")
         .select(
             "doc_id",
@@ -342,9 +354,9 @@ def language_scores(
             (F.col("n_known") + F.coalesce("more_known", zero) + (1 if end else 0)).alias("n_known"),
             F.lit(tokens).cast("bigint").alias("train_tokens"),
             (
-                F.col("base") + F.coalesce("more_base", F.lit(0.0)) + math.log10(end + 1) - F.col("n_tokens") * floor
+                F.col("base") + F.coalesce("more_base", nothing) + math.log10(end + 1) - F.col("n_tokens") * floor
             ).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("more_score", nothing)).alias("score"),
         )
     )
 

@@ -213,7 +213,13 @@ def test_base_scores_and_counts(docs, corpus):
         assert got[d].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws))
 
 
-def plain_tree(texts, share, divergence):
+def quantile(kinds):
+    """Chi-square quantile at 0.001 (Wilson and Hilferty), in bits of likelihood ratio."""
+    part = 2 / (9 * kinds)
+    return kinds * (1 - part + 3.09 * math.sqrt(part)) ** 3 / (2 * math.log(2))
+
+
+def plain_tree(texts, least):
     """The tree by dictionaries, context by context."""
     depth = suffix_tree.DEPTH
     count = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
@@ -222,7 +228,6 @@ def plain_tree(texts, share, divergence):
         for i in range(depth, len(s)):
             for d in range(depth + 1):
                 count[d][s[i - d : i]][s[i]] += 1
-    total = sum(len(s) - depth for s in streams)
     kept = [{} for _ in range(depth + 1)]
 
     def chance(context, x):
@@ -236,11 +241,11 @@ def plain_tree(texts, share, divergence):
 
     for d in range(depth + 1):
         for context, n in count[d].items():
-            if d and (sum(n.values()) < share * total or context[1:] not in kept[d - 1]):
+            if d and (sum(n.values()) < least or context[1:] not in kept[d - 1]):
                 continue
             low = {x: chance(context[1:], x) if d else 1 / 256 for x in n}
             p = {x: (n[x] + len(n) * low[x]) / (sum(n.values()) + len(n)) for x in n}
-            if not d or sum(n[x] * math.log2(p[x] / low[x]) for x in n) >= divergence * total:
+            if not d or sum(n[x] * math.log2(p[x] / low[x]) for x in n) >= quantile(len(n)):
                 kept[d][context] = True
 
     def longest(context):
@@ -251,30 +256,47 @@ def plain_tree(texts, share, divergence):
     return lambda s: sum(math.log10(chance(longest(s[i - depth : i]), s[i])) for i in range(depth, len(s)))
 
 
-def test_tree_scores_equal_a_plain_tree(spark, corpus):
+@pytest.mark.parametrize("share", [suffix_tree.COMMON_WINDOWS, 1e-3])
+def test_tree_scores_equal_a_plain_tree(spark, corpus, monkeypatch, share):
+    monkeypatch.setattr(suffix_tree, "COMMON_WINDOWS", share)  # the second share joins most windows
     rows = [(d, t) for d, t, *_ in corpus if t is None or len(t) < 500]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.score for r in suffix_tree.held_out_scores(docs).collect()}
     texts = {d: WORD.findall((t or "").translate(LOWER)) for d, t in rows}
-    score = plain_tree([t for d, t in texts.items() if fold(d, 7) != 2], suffix_tree.LEAST_SHARE, suffix_tree.DIVERGENCE)
+    score = plain_tree([t for d, t in texts.items() if fold(d, 7) != 2], suffix_tree.LEAST)
     for d, t in texts.items():
         stream = b"\0" * suffix_tree.DEPTH + b"".join(w.encode() + b" " for w in t) + b"\1"
         assert got[d] == pytest.approx(score(stream), rel=1e-9), d
 
 
-def test_tree_is_a_distribution():
-    names, counts = [], collections.Counter()
-    text = b"\0" * suffix_tree.DEPTH + b"abracadabra abracadabra \1"
-    keys = suffix_tree.windows(np.frombuffer(text, np.uint8))
-    for d in range(suffix_tree.DEPTH + 1):
-        for k in keys.tolist():
-            counts[(k & ((1 << 8 * (d + 1)) - 1)) | (d << 56)] += 1
-    names = np.array(sorted(counts), np.uint64)
-    tree = suffix_tree.build(names, np.array([counts[n] for n in names.tolist()]), 0.0, 0.0)
-    for context in (b"abrac", b"zzzzz", b"\0\0\0\0\0", b"zabra"):
-        base = int.from_bytes(context[-suffix_tree.DEPTH :], "big") << 8
-        every = np.array([base | x for x in range(256)], np.uint64)
-        assert (10 ** tree.score(every)).sum() == pytest.approx(1)
+def test_tree_is_a_distribution(spark):
+    text = b"\0" * suffix_tree.DEPTH + b"abracadabra abracadabra " * 9 + b"\1"
+    seen = collections.Counter(suffix_tree.windows(np.frombuffer(text, np.uint8)).tolist())
+    bases = [
+        int.from_bytes(c[-suffix_tree.DEPTH :].rjust(suffix_tree.DEPTH, b"\0"), "big") << 8
+        for c in (b"dabrac", b"zzzzzz", b"", b"zzabra")
+    ]
+    asked = {base | x for base in bases for x in range(256)} | set(seen)
+    whole = spark.createDataFrame([(w, seen[w], max(1, seen[w])) for w in asked], "name bigint, n bigint, every bigint")
+    p = {r.pair: r.p for r in suffix_tree.states(whole).collect()}
+    assert len(p) == len(asked)
+    for base in bases:
+        assert sum(p[base | x] for x in range(256)) == pytest.approx(1)
+    assert p[bases[0] | ord("a")] > 0.7 and p[bases[1] | ord("q")] < 0.01
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """More of the same source makes the same held-out texts likelier."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(4, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(800)]
+    held = [(d, t) for d, t in enumerate(texts) if fold(d, 7) == 2][:60]
+    score = []
+    for size in (50, 200, 800):
+        rows = [(d, t) for d, t in enumerate(texts[:size]) if fold(d, 7) != 2] + held
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        score.append(suffix_tree.held_out_scores(docs).filter("held_out").agg({"score": "sum"}).first()[0])
+    assert score[0] < score[1] < score[2]
 
 
 def test_scores_of_odd_rows(odd_docs, no_docs, docs):
