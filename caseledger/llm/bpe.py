@@ -27,6 +27,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -69,7 +70,11 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.word = regex.compile(splits[0]["pattern"]["Regex"].replace("\\s", _WHITE))
+        pattern = splits[0]["pattern"]["Regex"].replace("\\s", _WHITE)
+        self.word = regex.compile(pattern)
+        # the same pattern for text of ASCII characters, for the faster standard engine
+        plain = pattern.replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9")
+        self.plain_word = self.word if "\\p" in plain else re.compile(plain)
         self.letters = _byte_letters()
         self.byte = {c: b for b, c in enumerate(self.letters)}
         self.bytes_of = {i: self._bytes(t) for i, t in self.token.items()}
@@ -83,6 +88,10 @@ class Vocabulary:
         data = bytes(self.byte[c] for c in token.removesuffix(self.suffix))
         return data, token.endswith(self.suffix), ""
 
+    def cut(self, text: str) -> list[str]:
+        """The words of a normalised piece of text."""
+        return (self.plain_word if text.isascii() else self.word).findall(text)
+
     def _size(self, token: str) -> int:
         return len(token.removesuffix(self.suffix))
 
@@ -267,7 +276,7 @@ class Codec:
                 token = self.v.special[piece]
                 yield [(np.array([token], "<u4").tobytes(), self.names([token]), self.decoder.push(token))]
             else:
-                yield [get(word) or known(word) for word in self.v.word.findall(piece)]
+                yield [get(word) or known(word) for word in self.v.cut(piece)]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join([r[0] for runs in self._runs(text) for r in runs]), "<u4")

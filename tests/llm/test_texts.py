@@ -381,3 +381,12 @@ def test_decoding_restores_normal_form(docs, corpus):
 def test_codec_of_odd_rows(odd_docs, no_docs):
     assert bpe.round_trip(odd_docs).count() == odd_docs.count()
     assert bpe.round_trip(no_docs).count() == 0
+
+
+def test_ascii_words_are_those_of_the_full_pattern():
+    v = bpe.Vocabulary(bpe.vocabulary_file())
+    assert v.plain_word is not v.word
+    rng = random.Random(3)
+    every = "".join(map(chr, range(128)))
+    for text in [every * 2, *("".join(rng.choices(every, k=rng.randrange(40))) for _ in range(5_000))]:
+        assert v.cut(text) == v.word.findall(text)
