@@ -4,12 +4,17 @@ A text is a bag of passages of 64 words. Each passage is described by shares of
 bytes and words and encoded by a tanh layer; a gated attention layer (tanh times sigmoid)
 weighs the passages, and a logistic layer scores the weighted sum. All weights are
 learned from labels of whole texts, so a few telling passages can decide for a long one.
+
+The fit runs on the executors: the sample is cut by a hash of the ids into ``SHARDS`` parts,
+each takes the same steps from common weights, and the driver averages weights and moments,
+some 2,000 numbers a part, after every round. The parts do not depend on partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +23,16 @@ from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import append_score, fold, free_name, labelled_sample
 from caseledger.llm.words import blocks, in_parts, text_bytes, word_hashes, word_spans
+from caseledger.storage import discard, stored
 
 SAMPLE = 12_000  # labelled rows that are fitted at most
 THRESHOLD = 0.5
 PASSAGE = 64  # words
 _HUGE = 8 << 20  # bytes of a text that is described block by block
 _ENCODED, _GATE, _STEPS = 16, 8, 400
+SHARDS = 8  # parts of the sample that are fitted beside each other
+_ROUNDS = 10  # times that the parts' weights are averaged
+_CHUNK = 1 << 15  # passages whose gradient is computed at once
 
 _CLASSES = 12
 _CLASS = np.full(256, 10, np.uint8)  # other ASCII signs
@@ -125,62 +134,130 @@ class Model:
         return np.concatenate(found) if found else np.zeros(0)
 
 
-def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    d, k, g = FEATURES, _ENCODED, _GATE
-    return {
-        "W": rng.normal(0, d**-0.5, (d, k)), "w": np.zeros(k),
-        "V": rng.normal(0, k**-0.5, (k, g)), "v": np.zeros(g),
-        "U": rng.normal(0, k**-0.5, (k, g)), "u": np.zeros(g),
-        "a": rng.normal(0, g**-0.5, g), "c": rng.normal(0, k**-0.5, k), "b": np.zeros(1),
+_SHAPES = {
+    "W": (FEATURES, _ENCODED), "w": (_ENCODED,), "V": (_ENCODED, _GATE), "v": (_GATE,),
+    "U": (_ENCODED, _GATE), "u": (_GATE,), "a": (_GATE,), "c": (_ENCODED,), "b": (1,),
+}
+_ENDS = np.cumsum([int(np.prod(shape)) for shape in _SHAPES.values()])
+
+
+def _parts(weights: np.ndarray) -> dict[str, np.ndarray]:
+    cut = np.split(weights, _ENDS[:-1])
+    return {k: part.reshape(shape) for (k, shape), part in zip(_SHAPES.items(), cut, strict=True)}
+
+
+def _start() -> np.ndarray:
+    """Weights, their first and their second moments; the same every time."""
+    rng = np.random.default_rng(8)
+    drawn = [
+        rng.normal(0, shape[0] ** -0.5, shape) if k in "WVUac" else np.zeros(shape) for k, shape in _SHAPES.items()
+    ]
+    weights = np.concatenate([d.ravel() for d in drawn])
+    return np.stack([weights, np.zeros_like(weights), np.zeros_like(weights)])
+
+
+def gradient(weights: np.ndarray, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradient of the summed log loss of bags of standardised passages."""
+    p = _parts(weights)
+    f = Model(np.zeros(FEATURES), np.ones(FEATURES), p).forward(x, before)
+    dlogit = f["p"] - y
+    h, weight, t, s = f["h"], f["weight"], f["t"], f["s"]
+    dzb = (dlogit[:, None] * p["c"])[f["bag"]]
+    toward = (dzb * h).sum(axis=1)
+    mean = np.add.reduceat(toward * weight, before[:-1])[f["bag"]]
+    de = weight * (toward - mean)
+    dt, ds = de[:, None] * p["a"] * s * (1 - t * t), de[:, None] * p["a"] * t * s * (1 - s)
+    dh = (dzb * weight[:, None] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+    found = {
+        "W": x.T @ dh, "w": dh.sum(axis=0), "V": h.T @ dt, "v": dt.sum(axis=0), "U": h.T @ ds, "u": ds.sum(axis=0),
+        "a": (t * s).T @ de, "c": f["z"].T @ dlogit, "b": dlogit.sum(keepdims=True),
     }
+    return np.concatenate([found[k].ravel() for k in _SHAPES])
+
+
+def advance(
+    state: np.ndarray, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: range, total: int = _STEPS
+) -> np.ndarray:
+    """``state`` after Adam's ``steps`` on the mean log loss of all bags.
+
+    The gradient is summed over chunks of ``_CHUNK`` passages, or one longer bag.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    chunk = before[:-1] // _CHUNK
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(sizes)]])
+    w, m1, m2 = state.copy()
+    for step in steps:
+        g = 1e-4 * w
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            part = x[before[i] : before[j]].astype(float)
+            g = g + gradient(w, part, before[i : j + 1] - before[i], y[i:j]) / len(y)
+        m1 = 0.9 * m1 + 0.1 * g
+        m2 = 0.999 * m2 + 0.001 * g * g
+        rate = 0.02 * (1 - step / (total + 1)) + 0.001
+        w = w - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    return np.stack([w, m1, m2])
 
 
 def fit_bags(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = _STEPS) -> Model:
-    """Adam on the log loss of all bags; the start is the same every time."""
+    """The fit of one part, in one piece."""
     scale = x.std(axis=0) if len(x) else np.ones(FEATURES)
-    model = Model(
-        x.mean(axis=0) if len(x) else np.zeros(FEATURES), np.where(scale > 1e-6, scale, 1.0), _start(np.random.default_rng(8))
-    )
-    if not len(y):
-        return model
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    x = model.standard(x)
-    p = model.parts
-    m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    for step in range(1, steps + 1):
-        f = model.forward(x, before)
-        dlogit = (f["p"] - y) / len(y)
-        dz = dlogit[:, None] * p["c"]
-        dzb = dz[f["bag"]]
-        h, weight, t, s = f["h"], f["weight"], f["t"], f["s"]
-        toward = (dzb * h).sum(axis=1)
-        mean = np.add.reduceat(toward * weight, before[:-1])[f["bag"]]
-        de = weight * (toward - mean)
-        dt, ds = de[:, None] * p["a"] * s * (1 - t * t), de[:, None] * p["a"] * t * s * (1 - s)
-        dh = (dzb * weight[:, None] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        grad = {
-            "W": x.T @ dh, "w": dh.sum(axis=0), "V": h.T @ dt, "v": dt.sum(axis=0), "U": h.T @ ds, "u": ds.sum(axis=0),
-            "a": (t * s).T @ de, "c": f["z"].T @ dlogit, "b": np.array([dlogit.sum()]),
-        }
-        for k, g in grad.items():
-            g = g + 1e-4 * p[k]
-            m1[k] = 0.9 * m1[k] + 0.1 * g
-            m2[k] = 0.999 * m2[k] + 0.001 * g * g
-            rate = 0.02 * (1 - step / (steps + 1)) + 0.001
-            p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+    mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES)
+    model = Model(mean, np.where(scale > 1e-6, scale, 1.0), _parts(_start()[0]))
+    if len(y):
+        state = advance(_start(), model.standard(x), sizes, y, range(1, steps + 1), steps)
+        model.parts = _parts(state[0])
     return model
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for x, before in bags(batch.column(2)):
+        for x, before in bags(batch.column(3)):
             rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(before[:-1], before[1:], strict=True)]
-            key, label = (batch.column(i).slice(at, len(rows)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([key, label, pa.array(rows, pa.binary())], names=["key", "label", "bag"])
+            given = [batch.column(i).slice(at, len(rows)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(rows, pa.binary())], names=["shard", "key", "label", "bag"])
             at += len(rows)
 
 
+def _read(bags: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, their number a text, and labels, in the order of the keys."""
+    bags = bags.sort_by("key")
+    raw = bags.column("bag").to_pylist()
+    sizes = np.array([len(r) // (4 * FEATURES) for r in raw], int)
+    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, FEATURES), sizes, bags.column("label").to_numpy()
+
+
+def _row(texts: int, numbers: np.ndarray) -> pa.Table:
+    return pa.table({"texts": pa.array([texts], pa.int64()), "numbers": pa.array([numbers.tobytes()], pa.binary())})
+
+
+def _each_shard(bags: DataFrame, shards: int, work: Callable[[pa.Table], pa.Table]) -> list[tuple[int, np.ndarray]]:
+    """What ``work`` makes of each part: a count and an array of doubles, in a fixed order.
+
+    Four times as many partitions as parts, so that few tasks get two of them.
+    """
+
+    def each(part: pa.Table) -> pa.Table:  # Spark reads the hints, which a partial does not have
+        return work(part)
+
+    split = bags.repartition(4 * shards, "shard").groupBy("shard")
+    found = split.applyInArrow(each, "texts bigint, numbers binary").collect()
+    return sorted(((r.texts, np.frombuffer(r.numbers)) for r in found), key=lambda r: (r[0], r[1].tobytes()))
+
+
+def _advanced(
+    bags: pa.Table, state: np.ndarray, mean: np.ndarray, scale: np.ndarray, steps: range
+) -> pa.Table:
+    x, sizes, y = _read(bags)
+    x = Model(mean, scale, {}).standard(x).astype(np.float32)
+    return _row(len(y), advance(state, x, sizes, y, steps))
+
+
+def _moments(bags: pa.Table) -> pa.Table:
+    x = _read(bags)[0].astype(float)
+    return _row(bags.num_rows, np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -189,18 +266,34 @@ def fit(
     text: str = "text",
     label: str = "quality",
     sample: int = SAMPLE,
+    shards: int = SHARDS,
 ) -> Model:
     """Fit on at most ``sample`` labelled texts of the fold ``train``, a condition on ``_id``.
 
-    Only the sample's passage features reach the driver.
+    Only weights and sums of features reach the driver. Without texts, all score alike.
     """
     rows = labelled_sample(docs, labels, id, text, label, sample, train)
-    rows = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), "_text")
-    found = rows.mapInArrow(_passages, "key bigint, label int, bag binary").toArrow().sort_by("key")
-    raw = found.column("bag").to_pylist()
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, FEATURES).astype(float)
-    sizes = np.array([len(r) // (4 * FEATURES) for r in raw], int)
-    return fit_bags(x, sizes, np.array(found.column("label").to_pylist(), float))
+    key = F.xxhash64("_id")
+    rows = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), key.alias("key"), F.col("_label").alias("label"), "_text"
+    )
+    bags = stored(rows.mapInArrow(_passages, "shard int, key bigint, label int, bag binary"), "passages")
+    model, state = Model(np.zeros(FEATURES), np.ones(FEATURES), {}), _start()
+    sums = _each_shard(bags, shards, _moments)
+    if sums:
+        count, first, second = np.split(sum(numbers for _, numbers in sums), [1, 1 + FEATURES])
+        model.mean = first / count
+        scale = np.sqrt(np.maximum(second / count - model.mean**2, 0))
+        model.scale = np.where(scale > 1e-6, scale, 1.0)
+        for done in range(0, _STEPS, _STEPS // _ROUNDS):
+            steps = range(done + 1, done + 1 + _STEPS // _ROUNDS)
+            work = partial(_advanced, state=state, mean=model.mean, scale=model.scale, steps=steps)
+            found = _each_shard(bags, shards, work)
+            state = sum(n * numbers for n, numbers in found) / sum(n for n, _ in found)
+            state = state.reshape(3, -1)
+    discard(bags)
+    model.parts = _parts(state[0])
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -47,12 +47,13 @@ def labelled_sample(
 
     ``train`` is a condition on ``_id``. The sample is that of the smallest hashes of the
     id, so it does not depend on how the tables are stored. Labels are 1 or not; of
-    several labels for an id the largest counts; a null id or label is none. The sample
-    is bounded by ``rows``, so it is broadcast to find the texts.
+    several labels for an id the largest counts, of several texts the smallest; a null id
+    or label is none. The sample is bounded by ``rows``, so it is broadcast to find the texts.
     """
     given = labels.select(F.col(id).alias("_id"), F.col(label).alias("_label"))
     given = given.filter("_id is not null and _label is not null").filter(train)
     given = given.groupBy("_id").agg(F.max((F.col("_label") == 1).cast("int")).alias("_label"))
     sample = given.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
+    found = texts.join(F.broadcast(sample), "_id")
+    return found.groupBy("_id").agg(F.max("_label").alias("_label"), F.min("_text").alias("_text"))

@@ -123,6 +123,54 @@ def test_attention_weights_and_gradient():
     assert loss(quality.fit_bags(x, np.diff(before), y, steps=60)) < 0.5 * loss(start)
 
 
+def some_bags(rng, n):
+    sizes = rng.integers(1, 6, n)
+    return rng.normal(size=(sizes.sum(), quality.FEATURES)), sizes, rng.integers(0, 2, n)
+
+
+def test_gradient_against_differences():
+    x, sizes, y = some_bags(np.random.default_rng(2), 7)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    weights = quality._start()[0] + 0.1
+
+    def loss(w):
+        p = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), quality._parts(w)).forward(x, before)["p"]
+        return -np.log(np.where(y == 1, p, 1 - p)).sum()
+
+    found = quality.gradient(weights, x, before, y)
+    for k in range(0, len(weights), 7):
+        step = np.zeros_like(weights)
+        step[k] = 1e-5
+        assert abs((loss(weights + step) - loss(weights - step)) / 2e-5 - found[k]) < 1e-6
+
+
+def test_gradient_in_chunks(monkeypatch):
+    x, sizes, y = some_bags(np.random.default_rng(3), 60)
+    whole = quality.advance(quality._start(), x, sizes, y, range(1, 6))
+    monkeypatch.setattr(quality, "_CHUNK", 4)
+    assert np.allclose(quality.advance(quality._start(), x, sizes, y, range(1, 6)), whole)
+
+
+def test_quality_fit_against_one_piece(spark):
+    """One part on an executor equals the plain fit; several come to the same labels."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(("word", "Word", "WORD!!", "a1")) * (1 + k % 2) for _ in range(rng.randint(0, 200))) for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = docs.unionByName(docs.filter("doc_id < 5").withColumn("text", F.lit("~")))  # the smaller text counts
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id bigint, quality int")
+    key = {r.doc_id: r.k for r in docs.distinct().select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    order = sorted(range(80), key=key.get)
+    smaller = [min(texts[k], "~") if k < 5 else texts[k] for k in order]
+    found = list(quality.bags(pa.array(smaller)))
+    x = np.concatenate([b[0] for b in found]).astype(np.float32).astype(float)
+    sizes = np.concatenate([np.diff(b[1]) for b in found])
+    plain = quality.fit_bags(x, sizes, np.array([k % 2 for k in order]))
+    one = quality.fit(docs, labels, F.lit(True), shards=1)
+    assert np.allclose(one.mean, plain.mean) and np.allclose(one.score(pa.array(texts)), plain.score(pa.array(texts)), atol=1e-3)
+    many = quality.fit(docs, labels, F.lit(True), shards=4).score(pa.array(texts))
+    assert np.mean((many >= 0.5) == (plain.score(pa.array(texts)) >= 0.5)) > 0.95
+
+
 def test_passages_of_long_and_blocked_texts(monkeypatch):
     text = " ".join(f"Wort{k} ist," for k in range(3_000))
     x, before = next(quality.bags(pa.array([text])))
