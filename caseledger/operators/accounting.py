@@ -15,8 +15,8 @@ def dedup_accounting(table: DataFrame, keys: list[str], by: str | None = None) -
 
     Groups with equal keys are counted first, so the shuffle carries distinct keys.
     """
-    group = [by] if by else []
-    distinct = table.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_copies"))
+    group = [f"`{by}`"] if by else []
+    distinct = table.groupBy(*group, *[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("_copies"))
     counted = distinct.groupBy(*group).agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("initial_rows"),
         F.count(F.lit(1)).alias("final_rows"),

@@ -22,8 +22,9 @@ def _section():
     return F.regexp_extract("url", "^https?://[^/]+/[a-z]+", 0)
 
 
-def _spreadsheets(t: Tables) -> str:
-    """Customers, suppliers and nations as a folder of folders of spreadsheets."""
+def _spreadsheets(t: Tables, notes: bool = False) -> str:
+    """Customers, suppliers and nations as a folder of folders of spreadsheets; if ``notes``,
+    one more whose header repeats a name, as it is and in capitals."""
     base = new_folder(t.spark, "spreadsheets")
     people = t.customer.select(
         F.col("c_custkey").alias("Report ID"), F.col("c_mktsegment").alias("Subject"),
@@ -40,10 +41,10 @@ def _spreadsheets(t: Tables) -> str:
     spreadsheets.write_csv(second, f"{base}/west/incident-data-2.csv")
     spreadsheets.write_csv(places, f"{base}/east/incident-summary-and-locations-1.csv")
     spreadsheets.write_csv(t.nation, f"{base}/west/nations.csv")
-    # one whose header repeats a name, as it is and in capitals
-    notes = t.region.select(F.concat_ws(",", "r_regionkey", F.lit('"a, b"'), "r_name", F.concat(F.lit("x"), "r_regionkey")))
-    head = t.region.limit(1).select(F.lit("Report ID,note,note,NOTE"))
-    head.unionByName(notes.toDF(head.columns[0])).coalesce(1).write.text(f"{base}/east/notes.csv")
+    if notes:
+        lines = t.region.select(F.concat_ws(",", "r_regionkey", F.lit('"a, b"'), "r_name", F.concat(F.lit("x"), "r_regionkey")))
+        head = t.region.limit(1).select(F.lit("Report ID,note,note,NOTE"))
+        head.unionByName(lines.toDF(head.columns[0])).coalesce(1).write.text(f"{base}/east/notes.csv")
     return base
 
 
@@ -69,7 +70,7 @@ UNION ALL SELECT 'other', 'west', 'nations.csv', n_nationkey::VARCHAR, NULL FROM
 UNION ALL SELECT 'other', 'east', 'notes.csv', r_regionkey::VARCHAR, r_name FROM region
 """)
 def s01_folder_scan(spark, folder):
-    found = spreadsheets.scan_kinds(spark, _spreadsheets(Tables(spark, folder)))
+    found = spreadsheets.scan_kinds(spark, _spreadsheets(Tables(spark, folder), notes=True))
     own = {"other": ("coalesce(`Report ID`, n_nationkey)", "`note.1`"), "incident-data": ("`Report ID`", "Outcome")}
     out = None
     for kind, rows in found.items():

@@ -216,3 +216,10 @@ def test_page_files(spark, tmp_path):
     assert [r["item"] for r in elements.orderBy("page", "position").collect()] == ["a", "b", "c", "d"]
     assert tuple(totals.select("total_entries", "pages_fetched", "actual_entries").first()) == (9, 2, 4)
     assert [r["file"].rpartition("/")[2] for r in rejected.collect()] == ["x.json"]
+
+
+def test_merge_summary_of_a_repeated_header_name(spark, tmp_path):
+    write(tmp_path / "a" / "notes.csv", "n,note,note\n1,x,y\n1,x,y\n1,x,z\n")
+    found = spreadsheets.scan_kinds(spark, str(tmp_path))["other"].drop("row_number")
+    line = ac.merge_summary({"other": found}).first()
+    assert tuple(line) == ("other", 1, 3, 1, 2, 3)
