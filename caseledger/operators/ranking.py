@@ -93,17 +93,23 @@ def select_diverse(
     )
 
 
+_AT_REST, _MOST_ROUNDS = 1e-9, 1_000_000  # centres that move no further; any clustering rests long before
+
+
 def cluster_documents(
     vectors: DataFrame, key: str, vector: str,
     clusters: int = rules.CLUSTERS, seed: int = rules.CLUSTER_SEED,
 ) -> tuple[DataFrame, DataFrame] | None:
-    """K-means labels and centres; two documents or fewer are not clustered."""
+    """K-means labels and centres; two documents or fewer are not clustered.
+
+    The rounds go on until the centres rest, so each centre is the mean of its documents.
+    """
     dense = array_to_vector(F.col(vector).cast("array<double>")).alias("features")
     features = vectors.select(key, dense)
     n = features.count()
     if n <= 2:
         return None
-    model = KMeans(k=min(clusters, n), seed=seed).fit(features)
+    model = KMeans(k=min(clusters, n), seed=seed, tol=_AT_REST, maxIter=_MOST_ROUNDS).fit(features)
     labels = model.transform(features).select(key, F.col("prediction").alias("cluster"))
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     spark = vectors.sparkSession

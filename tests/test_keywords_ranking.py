@@ -195,3 +195,12 @@ def test_selecting_in_small_blocks_is_the_same(spark, monkeypatch):
     whole = chosen(frame, k=7)
     monkeypatch.setattr(rk, "BLOCK", 4)
     assert chosen(frame, k=7) == whole
+
+
+def test_centres_are_at_rest(spark):
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(3000)], "id int, v array<double>")
+    labels, middles = rk.cluster_documents(frame, "id", "v")
+    found = {r["cluster"]: np.array(r["centre"]) for r in middles.collect()}
+    for r in rk.centroids(labels.join(frame, "id"), "cluster", "v").collect():
+        assert np.abs(np.array(r["centroid"]) - found[r["cluster"]]).max() < 1e-6
