@@ -1,11 +1,13 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from caseledger import schemas
 from caseledger.operators import accounting as ac
 from caseledger.operators import flatten as ft
+from caseledger.operators import pages
 from caseledger.operators.pages import clean_pages, listing_entries
 from caseledger.sources import payloads, spreadsheets, tables
 
@@ -223,3 +225,21 @@ def test_merge_summary_of_a_repeated_header_name(spark, tmp_path):
     found = spreadsheets.scan_kinds(spark, str(tmp_path))["other"].drop("row_number")
     line = ac.merge_summary({"other": found}).first()
     assert tuple(line) == ("other", 1, 3, 1, 2, 3)
+
+
+def test_pages_become_objects_slice_by_slice():
+    """However many pages a batch holds, its rows come out a slice at a time."""
+    made = []
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            html = ["<body><h1>Title of it</h1></body>"] * 99 + [None]
+            made.extend(run([pa.RecordBatch.from_pydict({"page_id": list(range(100)), "url": ["u"] * 100, "html": html})]))
+
+    pages.clean_pages(Pages())
+    assert [b.num_rows for b in made] == [pages.SLICE] * 3 + [100 - 3 * pages.SLICE]
+    last = made[-1].to_pylist()
+    assert last[0]["title"] == "Title of it" and last[-1]["title"] is None and last[-1]["error"]
