@@ -204,3 +204,12 @@ def test_centres_are_at_rest(spark):
     found = {r["cluster"]: np.array(r["centre"]) for r in middles.collect()}
     for r in rk.centroids(labels.join(frame, "id"), "cluster", "v").collect():
         assert np.abs(np.array(r["centroid"]) - found[r["cluster"]]).max() < 1e-6
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    frame = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"]), (4, None)], "id int, w array<string>")
+    got = {r["id"]: r["c"] and [tuple(e) for e in r["c"]] for r in frame.select("id", kw.word_counts(F.col("w")).alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 3), ("c", 1)], 2: None, 3: [("x", 1)], 4: None}
+    documents = spark.createDataFrame([(1, "some words and more words"), (2, "more")], "id int, t string")
+    plan = kw.ranked_by_frequency(documents, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" not in plan  # no shuffle for the counts of a document
