@@ -9,7 +9,7 @@ from caseledger.operators import filters as fl
 from caseledger.operators import intake as it
 from caseledger.operators import joins as jn
 from caseledger.operators import links as lk
-from caseledger.plans import records
+from caseledger.plans import intaking, records
 from caseledger.plans.registry import Tables
 
 
@@ -113,3 +113,10 @@ def test_stored_incidents_are_read_by_leaf(spark, tmp_path):
     plan = found.select("id", fl.EVENT_DATE)._jdf.queryExecution().executedPlan().toString()
     assert "vesselName" not in plan and "eventDate:string" in plan
     assert "EqualTo(status,modified)" in plan
+
+
+def test_intake_joins_hashes_not_texts(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = intaking.predictions(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2")  # the hash is made below the join
+    assert "Join" not in intaking._articles(t)._jdf.queryExecution().optimizedPlan().toString()
