@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from caseledger.llm.scoring import append_score, fold, free_name, labelled_sample
 from caseledger.llm.words import PUNCTUATION, distinct, in_parts, stem_hashes, text_bytes, word_hashes
+from caseledger.storage import discard, stored
 
 SAMPLE = 16_000  # labelled rows that are fitted at most
 THRESHOLD = 0.3
@@ -196,8 +197,14 @@ def fit_words(
     Texts of equal words and label count once, so copies prove nothing.
     """
     once = {(y, hash(w.tobytes())): w for y, w in zip(labels, words, strict=True)}
-    words = list(once.values())
-    y = np.array([label for label, _ in once], float)
+    return _fitted([label for label, _ in once], list(once.values()), identity, pairing)
+
+
+def _fitted(
+    labels: list[int], words: list[np.ndarray], identity: tuple[tuple[str, ...], ...], pairing: float, screened: bool = False
+) -> Model:
+    """The fit on texts no two of which are equal; if ``screened``, words without bearing may be left out."""
+    y = np.array(labels, float)
     n = len(y)
     swaps = _swaps(identity)
     terms = np.array(sorted(swaps), np.uint32)
@@ -208,7 +215,7 @@ def fit_words(
     names, texts = np.unique(flat, return_counts=True)
     vocabulary = np.union1d(names[(texts >= LEAST_TEXTS) & (texts < n)], np.intersect1d(terms, names))
     m = len(vocabulary)
-    if not m:
+    if not m and not screened:
         rate = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         return Model(vocabulary, np.zeros(0), float(np.log(rate / (1 - rate))), terms)
     col = np.minimum(np.searchsorted(vocabulary, flat), m - 1).astype(np.int32)
@@ -249,16 +256,52 @@ def fit(
 ) -> Model:
     """Fit on at most ``sample`` labelled texts of the fold ``train``, a condition on ``_id``.
 
-    Only hashes of the sample's words reach the driver.
+    Words are counted and screened on the executors; of each text only the hashes of those
+    with a bearing, and of identity terms, reach the driver.
     """
     rows = labelled_sample(docs, labels, id, text, label, sample, train)
     rows = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), "_text")
     terms = np.array(sorted(_swaps(identity)), np.uint32)
-    found = rows.mapInArrow(lambda batches: _words_of(batches, terms), "key bigint, label int, words array<int>").toArrow().sort_by("key")
-    lists = found.column("words").combine_chunks()
+    found = rows.mapInArrow(lambda batches: _words_of(batches, terms), "key bigint, label int, words array<int>")
+    once = stored(found.groupBy("label", "words").agg(F.min("key").alias("key")), "words")
+    known, any_word = _screened(once, terms)
+    texts = once.select("key", "label", "words").mapInArrow(
+        lambda batches: _only(batches, known), "key bigint, label int, words array<int>"
+    )
+    texts = texts.toArrow().sort_by("key")
+    discard(once)
+    lists = texts.column("words").combine_chunks()
     ends, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint32)
     words = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit_words(found.column("label").to_pylist(), words, identity, pairing)
+    return _fitted(texts.column("label").to_pylist(), words, identity, pairing, any_word)
+
+
+def _screened(once: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Words in enough texts whose bearing may pass the screen, and identity terms; whether any is in enough texts.
+
+    The fit screens again: the margin here is for its rounding.
+    """
+    n, positive = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    mean = positive / max(1, n)
+    held, of_ones = F.col("texts"), F.col("ones")
+    counted = once.select("label", F.explode("words").alias("word")).groupBy("word")
+    counted = counted.agg(F.count(F.lit(1)).alias("texts"), F.sum("label").alias("ones"))
+    term = F.col("word").isin(terms.view(np.int32).tolist())
+    counted = counted.filter(((held >= LEAST_TEXTS) & (held < n)) | term)
+    least = SCREEN * F.sqrt(mean * (1 - mean) * held) * (1 - 1e-6) - 1e-6
+    known = counted.filter((F.abs(of_ones - held * mean) >= least) | term).select("word").toArrow()
+    known = np.sort(np.asarray(known.column("word").combine_chunks()))
+    return known, bool(len(known)) or not counted.isEmpty()
+
+
+def _only(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        here = np.isin(values[ends[0] : ends[-1]], known)
+        after = np.concatenate([[0], np.cumsum(here)])[ends - ends[0]].astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(after), pa.array(values[ends[0] : ends[-1]][here], pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["key", "label", "words"])
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

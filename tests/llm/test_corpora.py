@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from caseledger.llm import ngram_join, quality, suffix_tree, toxicity, warc
+from caseledger.storage import freed_shuffles
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +82,47 @@ def test_toxicity_held_out(spark):
     assert all(again[k] == got[k].score for k in got)
 
 
+def test_toxicity_fit_hands_the_driver_words_with_a_bearing_only(spark, monkeypatch):
+    rows = [(k, f"{t} only{k % 7}in few{k}", y) for k, t, y in toy(random.Random(19), 400, "women")]
+    rows += [(len(rows) + k, t, y) for k, t, y in rows[:50]]  # copies prove nothing
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, toxic int")
+    handed, plain = [], toxicity._fitted
+
+    def counted(y, words, *given):
+        handed.append((len(words), sum(map(len, words))))
+        return plain(y, words, *given)
+
+    monkeypatch.setattr(toxicity, "_fitted", counted)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    terms = np.array(sorted(toxicity._swaps(toxicity.IDENTITY)), np.uint32)
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows.sort(key=lambda r: order[r[0]])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[1] for r in rows])], names=["k", "y", "t"])
+    lists = [np.array(w, np.int32).view(np.uint32) for b in toxicity._words_of(iter([batch]), terms) for w in b.column(2).to_pylist()]
+    whole = toxicity.fit_words([r[2] for r in rows], lists)
+    assert handed[0][0] == handed[1][0] == 400 and handed[0][1] < handed[1][1] / 5
+    assert (model.words == whole.words).all() and (model.weights == whole.weights).all() and model.bias == whole.bias
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with freed_shuffles(spark):
+        frame = spark.range(1000).groupBy(F.col("id") % 7).count()
+        frame.write.parquet(f"{tmp_path}/out")
+        assert frame.collect() and frame.collect()  # what is asked for again is made again
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_of_odd_rows(odd_docs, no_docs, labels, docs, module, label):
     assert module.classified(odd_docs, labels).count() == odd_docs.count()
