@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from caseledger.operators.filters import Query
 from caseledger.operators.joins import dictionary_hits
 from caseledger.operators.skew import join_back
+from caseledger.storage import stored
 
 _TOKEN = re.compile(r'\s*(?:"([^"]*)"|([()])|([^\s()"]+))')
 
@@ -129,7 +130,8 @@ def search(documents: DataFrame, queries: DataFrame, key: str, text: str, query_
 
     named = _on_query(given.select("_q", "_query", F.array().alias("_none")), f"_q {kind}, _term string", each_term)
     hits = dictionary_hits(documents, named.select("_term").distinct(), key, text, "_term")
-    hits = hits.select(F.col(key).alias("_d"), "_term")
+    # three steps read the hits; left to the plan, texts would be cut into words for each anew
+    hits = stored(hits.select(F.col(key).alias("_d"), "_term"), "hits")
     counts = hits.groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
     weighed = named.join(counts, "_term", "left").groupBy("_q").agg(  # a query's own terms
         F.collect_list(F.struct("_term", F.coalesce("_n", F.lit(0)).alias("_n"))).alias("_counts")

@@ -72,3 +72,12 @@ def test_only_candidate_places_are_shuffled(spark):
     assert got == {(k, t): 20 for k in range(30) for t in ("Alpha beta", "delta", "beta", "gamma alpha delta")}
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")  # what is counted is cut first
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b x"), (3, "c a")], "id int, body string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    asked = spark.createDataFrame([(7, "a AND c"), (8, '"b x"')], "name int, q string")
+    found = search.search(spark.read.parquet(f"{tmp_path}/docs"), asked, "id", "body", "name", "q")
+    assert {tuple(r) for r in found.collect()} == {(1, 7), (3, 7), (2, 8)}
+    assert not [f for f in found.inputFiles() if "/docs/" in f]  # its steps read the stored hits, no text
