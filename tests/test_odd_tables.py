@@ -64,3 +64,15 @@ ODD_TEXTS = (
 
 def test_hashes_of_null_and_empty_texts(same):
     assert same("m07_content_hash", documents=ODD_TEXTS)
+
+
+def test_odd_texts_through_csv(same):
+    assert same("s08_csv_round_trip", documents=ODD_TEXTS)
+
+
+def test_odd_texts_through_csv_in_small_blocks(same, spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert same("s08_csv_round_trip", documents=ODD_TEXTS)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
