@@ -528,3 +528,37 @@ def test_pipeline_stages_take_effect(spark, tmp_path, corpus):
         docs = spark.createDataFrame([r for r in kept.collect()], kept.schema) if name != "bpe" else kept
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == set(left)
+
+
+def near_copies(rng, groups_of, size, changes):
+    """Texts of which each has near copies, some of which link and some do not."""
+    out = []
+    for _ in range(groups_of):
+        base = [f"v{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rng.randint(0, changes)):
+                words[rng.randrange(len(words))] = f"u{rng.randrange(50)}"
+            out.append(" ".join(words))
+    return out
+
+
+def test_near_copies_throughout_are_shuffled_range_by_range(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = list(enumerate(near_copies(rng, 6, 6, 2)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = []
+
+    def counted(table, label):
+        out = plain(table, label)
+        written.append((label, out.count()))
+        return out
+
+    plain = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    monkeypatch.setattr(ngram_join, "_AT_ONCE", 0, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == groups(rows, 4, 85)
+    ranked = [n for label, n in written if label == "ranked"]
+    assert len(ranked) == 4 and max(ranked) < 0.5 * sum(ranked)
+    assert sum(label == "sets" for label, _ in written) > 2  # and so do the sets of the pairs
