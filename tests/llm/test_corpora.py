@@ -562,3 +562,20 @@ def test_near_copies_throughout_are_shuffled_range_by_range(spark, monkeypatch):
     ranked = [n for label, n in written if label == "ranked"]
     assert len(ranked) == 4 and max(ranked) < 0.5 * sum(ranked)
     assert sum(label == "sets" for label, _ in written) > 2  # and so do the sets of the pairs
+
+
+def test_links_are_those_of_all_pairs(spark, corpus, monkeypatch):
+    rng = random.Random(24)
+    rows = [(d, t) for d, t, *_ in corpus]
+    rows += [(5_000 + k, t) for k, t in enumerate(near_copies(rng, 3, 14, 4) * 2)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_join, "_BLOCK", 4, raising=False)
+    found = ngram_join.jaccard_components(docs).collect()
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall((text or "").translate(LOWER))
+        sets[doc] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+    want = {d: sum(near(x, y) for e, y in sets.items() if e != d) for d, x in sets.items()}
+    assert {r.doc_id: r.links for r in found if r.doc_id is not None} == want
+    assert [r.links for r in found if r.doc_id is None] == [0]
